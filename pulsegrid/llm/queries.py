@@ -11,6 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import langid
+
+    return langid.digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import matroska
+
+    return matroska.digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import quality
+
+    return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +37,12 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import storage, warc
+
+    return warc.digest(_table(spark, sf_dir, "pages"), storage.new_path(spark, "warc"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm import fmindex
 
