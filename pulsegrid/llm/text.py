@@ -88,7 +88,7 @@ class Rolling:
         n = len(self.prefix) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.prefix[k:] - self.prefix[:n]) * self.inverse[:n] + np.uint64(k) * _MULT)
+        return mix((self.prefix[k:] - self.prefix[:n]) * self.inverse[:n] + np.uint64(k * int(_MULT) & (1 << 64) - 1))
 
 
 def fold(symbols: np.ndarray, seed: int) -> np.ndarray:
