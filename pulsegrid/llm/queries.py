@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import dartminhash
+
+    return dartminhash.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm import suffixes
 
