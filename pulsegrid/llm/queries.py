@@ -49,6 +49,12 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import paragraphs
+
+    return paragraphs.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm import storage, warc
 
