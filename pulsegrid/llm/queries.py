@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import toolcalls
+
+    return toolcalls.digest(_table(spark, sf_dir, "conversations"))
+
+
 def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm import dartminhash
 
@@ -72,4 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pulsegrid.llm import toolcalls
+
+    return {"op1_toolcalls": toolcalls.ORACLE}
