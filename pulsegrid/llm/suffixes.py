@@ -30,7 +30,7 @@ LENGTH = 400
 GRAM = 100
 SLICE = 32
 
-_STRETCH = pa.schema([("row_key", pa.int64()), ("row_id", pa.int64()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("at", pa.int32())])
+_STRETCH = pa.schema([("row_key", pa.int64()), ("row_id", pa.int64()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("at", pa.int32()), ("copies", pa.int32())])
 
 
 def _spark_schema(schema: pa.Schema) -> T.StructType:
@@ -71,17 +71,46 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     return own[low], low, high, at, grams[at], rolling.spans(low, high + length)
 
 
+def within_documents(of: np.ndarray, low: np.ndarray, high: np.ndarray, grams: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal stretches of one document, taken together before anything is shuffled.
+
+    Returns the first of each kind, how many there are, and merged ranges of those that
+    occur more than once: first and last stretch number of each range."""
+    order = np.lexsort((spans, grams, of))
+    new = np.ones(len(order), bool)
+    for x in (of, grams, spans):
+        y = x[order]
+        new[1:] &= y[1:] == y[:-1]
+    new[1:] = ~new[1:]
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(order)))
+    again = np.zeros(len(order), bool)
+    again[order] = np.repeat(counts > 1, counts)
+    many = np.flatnonzero(again)
+    opens = np.ones(len(many), bool)
+    opens[1:] = (of[many[1:]] != of[many[:-1]]) | (low[many[1:]] > high[many[:-1]] + 1)
+    closes = np.append(opens[1:], True)[: len(many)]
+    return order[first], counts, many[opens], many[closes], again
+
+
 def _find_stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row per kind of stretch and document, and rows with 0 copies for ranges that
+    repeat inside a document."""
+
     def one(batches):
         for batch in batches:
             key, ident = (batch.column(k).to_numpy() for k in (0, 1))
             data, offsets = raw_strings(batch.column(2))
             for i, j in runs(offsets):
                 of, low, high, at, grams, spans = stretches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
-                origin = offsets[i + of] - offsets[i]
+                kept, counts, begin, end, _ = within_documents(of, low, high, grams, spans)
+                pick, last = np.concatenate([kept, begin]), np.concatenate([kept, end])
+                copies = np.concatenate([counts, np.zeros(len(begin), np.int64)]).astype(np.int32)
+                origin = offsets[i + of[pick]] - offsets[i]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[i + of]), pa.array(ident[i + of]), pa.array(grams.view(np.int64)), pa.array(spans.view(np.int64))]
-                    + [pa.array((x - origin).astype(np.int32)) for x in (low, high, at)],
+                    [pa.array(key[i + of[pick]]), pa.array(ident[i + of[pick]]), pa.array(grams[pick].view(np.int64)), pa.array(spans[pick].view(np.int64))]
+                    + [pa.array((x - origin).astype(np.int32)) for x in (low[pick], high[last], at[pick])]
+                    + [pa.array(copies)],
                     schema=_STRETCH,
                 )
 
@@ -176,13 +205,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sli
     docs = docs.select("row_key", "row_id", "text")
     found = _find_stretches(docs.where(F.octet_length("text") >= length), length, gram)
     # level 0: anchors that are not alone
-    shared = found.groupBy("anchor").agg(F.count("*").alias("rows"), F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("rows > 1")
+    shared = found.groupBy("anchor").agg(F.sum("copies").alias("rows"), F.min("stretch").alias("a"), F.max("stretch").alias("b")).where("rows > 1")
     held = written(found.join(shared.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "stretches")
     # level 1: stretches with a twin
-    mixed = held.where("mixed")
-    classes = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min_by(F.struct("row_key", "row_id", "low", "high", "at"), F.struct("row_key", "row_id", "low")).alias("one"))
+    mixed = held.where("mixed and copies > 0")
+    classes = mixed.groupBy("anchor", "stretch").agg(F.sum("copies").alias("n"), F.min_by(F.struct("row_key", "row_id", "low", "high", "at"), F.struct("row_key", "row_id", "low")).alias("one"))
     classes = written(classes.select("anchor", "stretch", "n", "one.*"), "classes")
-    whole = held.where("not mixed").select("row_key", "row_id", "low", "high").unionByName(mixed.join(classes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("row_key", "row_id", "low", "high"))
+    whole = held.where("not mixed or copies = 0").select("row_key", "row_id", "low", "high").unionByName(mixed.join(classes.where("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("row_key", "row_id", "low", "high"))
     wanted = classes.groupBy("row_key", "row_id").agg(F.collect_list(F.struct("anchor", "stretch", "n", "low", "high", "at")).alias("held"))
     contexts = written(_cut_contexts(docs.join(wanted, ["row_key", "row_id"]), length), "contexts")
     # level 2: slices of the stretches without one
