@@ -25,6 +25,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 256
 RESIDUAL_ROUNDS = 2
+#: Buckets of up to PAIRED nodes are finished pair by pair, larger ones in cells of CELL by CELL nodes.
+PAIRED = 16
+CELL = 512
 #: A character that belongs to a word.
 WORDED = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
@@ -218,7 +221,98 @@ def linked(hits: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = written(components(links), "labels")
-    return labels
+    return _finished(hits, sets, least, links, labels, tried)
+
+
+def _finished(hits: DataFrame, sets: DataFrame, least: float, links: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+    """``labels`` after every pair of nodes that share a bucket, and lie in different
+    components, has been compared."""
+    held = _labelled(hits, labels)
+    parts = held.groupBy("key", "component").agg(F.count("*").alias("c"))
+    bulk = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main")).where("kinds > 1")
+    held = written(held.join(bulk, "key"), "open")
+    small = held.where(F.col("n") <= PAIRED).select("key", "node", "component")
+    other = small.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
+    pairs = small.join(other, "key").where("node < b and component <> cb").select(F.col("node").alias("a"), "b").distinct()
+    met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(_with_degree(pairs), sets, least).unionByName(_in_cells(held.where(F.col("n") > PAIRED), sets, least)), "links")
+    return labels if more.isEmpty() else written(components(links.unionByName(more)), "labels")
+
+
+def _in_cells(held: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join components of large buckets.
+
+    The nodes outside a bucket's main component meet all its nodes in cells of about
+    CELL by CELL, so that neither a task nor a row grows with the bucket."""
+    rows = F.ceil((F.col("n") - F.col("most")) / CELL).cast("int")
+    columns = F.ceil(F.col("n") / CELL).cast("int")
+    at = F.xxhash64("node", "key")
+    base = held.select("key", "node", "component", "main", F.pmod(at, rows).cast("int").alias("row"), F.pmod(at, columns).cast("int").alias("column"), rows.alias("rows"), columns.alias("columns"))
+    left = base.where("component <> main").withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("left", F.lit(True))
+    right = base.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("left", F.lit(False))
+    names = ["key", "row", "column", "left", "node", "component"]
+    filled = left.select(*names).unionByName(right.select(*names)).join(sets, "node")
+
+    def one(table: pa.Table) -> pa.Table:
+        return pa.table(dict(zip("ab", (pa.array(x, pa.int64()) for x in cell_links(table, least)), strict=True)))
+
+    return filled.groupBy("key", "row", "column").applyInArrow(one, "a long, b long")
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], step: int = 1024) -> np.ndarray:
+    """How many values each set of ``x`` shares with each of ``y``."""
+    rows = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    values = [np.concatenate(s) for s in (x, y)]
+    shared = np.intersect1d(*values)
+    for k in range(2):
+        at = np.searchsorted(shared, values[k])
+        known = at < len(shared)
+        known[known] = shared[at[known]] == values[k][known]
+        order = np.argsort(at[known], kind="stable")
+        rows[k], values[k] = rows[k][known][order], at[known][order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, len(shared), step):
+        dense = []
+        for k, s in enumerate((x, y)):
+            i, j = np.searchsorted(values[k], (low, low + step))
+            block = np.zeros((len(s), min(step, len(shared) - low)), np.float32)
+            block[rows[k][i:j], values[k][i:j] - low] = 1
+            dense.append(block)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def cell_links(table: pa.Table, least: float) -> tuple[list[int], list[int]]:
+    """Links between different components of a cell, as many as it takes to join them."""
+    node, component, side = (table.column(c).to_numpy() for c in ("node", "component", "left"))
+    side = side.astype(bool)
+    raw = table.column("shingles").to_pylist()
+    left, right = np.flatnonzero(side), np.flatnonzero(~side)
+    found: tuple[list[int], list[int]] = ([], [])
+    if not len(left) or not len(right):
+        return found
+    size = np.array([len(r) // 4 for r in raw])
+    both = size[left][:, None] + size[right][None, :]
+    common = overlaps(*([np.frombuffer(raw[k], np.uint32) for k in ks] for ks in (left, right)))
+    # a repeated 32-bit value inside a set counts once here: exact similarity decides below
+    near = (common + 2 >= least / (1 + least) * both) & (component[left][:, None] != component[right][None, :])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    for i, j in np.argwhere(near).tolist():
+        i, j = left[i], right[j]
+        a, b = root(int(component[i])), root(int(component[j]))
+        if a != b and jaccard(raw[i], raw[j]) >= least:
+            parent[a] = b
+            found[0].append(int(node[i]))
+            found[1].append(int(node[j]))
+    return found
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, text_col: str = "text") -> DataFrame:
@@ -228,7 +322,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     Equal texts that are not null or without words share a node.  Candidates are
     compared with the most central node of each bucket (the one met by most others);
     buckets that then still hold several components are tried again through other
-    nodes.  The hot case is a star, never all pairs."""
+    nodes, and what is still apart is compared pair by pair.  The hot case is a star;
+    all pairs are met only between components that no star has joined."""
     keyed = _keyed(docs, text_col)
     signed = _sign(keyed, bands, rows)
     nodes = written(

@@ -101,6 +101,33 @@ def test_classes_match_brute_force(spark):
     assert sorted(r.doc_id for r in d.deduplicated(frame).collect()) == kept
 
 
+def test_large_group_without_its_base_is_whole(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    docs = []
+    for k in range(900):
+        copy = base[:]
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"x{k}y{at}"
+        docs.append(" ".join(copy))
+    sets = [set(_shingles(t)) for t in docs]
+    index = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    rows = np.zeros((len(docs), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        rows[i, [index[x] for x in s]] = 1
+    same, size = rows @ rows.T, rows.sum(1)
+    near = same / (size[:, None] + size[None, :] - same) >= 0.8
+    label = np.arange(len(docs))
+    while True:
+        least = np.where(near, label[None, :], len(docs)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in d.digest(frame).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
 def test_repeats_nulls_and_empty_tables(spark):
     frame = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "q r"), (5, "q r"), (6, "q r")], "doc_id long, text string")
     rows = d.deduplicated(frame).collect()
