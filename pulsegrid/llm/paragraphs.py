@@ -17,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.llm.dartminhash import linked
 from pulsegrid.llm.storage import written
@@ -32,6 +32,7 @@ CUT_WINDOW = 16
 CUT_GRAM = 3
 BLOCK_WORDS = 4
 RUN_WORDS = 18
+REACH = 64  # words of the kept occurrence that are known on each side of a repeated stretch
 
 
 class Parts:
@@ -158,8 +159,58 @@ def _line_sets(joined: DataFrame) -> DataFrame:
     return joined.select("text", "asked").mapInArrow(one, "node long, shingles binary")
 
 
+def _contexts(joined: DataFrame) -> DataFrame:
+    """Word hashes on both sides of the kept blocks that are asked for, ``REACH`` at most."""
+
+    def one(batches):
+        for batch in batches:
+            data, offsets = raw_strings(batch.column(0))
+            asked = batch.column(1).to_pylist()
+            rows = []
+            for i, j in runs(offsets):
+                parts = Parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                doc, first, last = parts.blocks()
+                at = np.searchsorted(doc, np.arange(j - i))
+                short = short_words(parts)
+                for k in range(i, j):
+                    low, high = parts.word_at[k - i], parts.word_at[k - i + 1]
+                    for want in asked[k]:
+                        block = at[k - i] + want["place"] // 2
+                        before = short[max(low, first[block] - REACH) : first[block]].tobytes() if want["opens"] else None
+                        after = short[last[block] : min(high, last[block] + REACH)].tobytes() if want["closes"] else None
+                        rows.append((want["cluster"], before, after))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["cluster", "before", "after"])
+
+    return joined.select("text", "asked").mapInArrow(one, "cluster long, before binary, after binary")
+
+
+def short_words(parts: Parts) -> np.ndarray:
+    return (parts.hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def _with_contexts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the words around the kept occurrence, where a stretch of blocks that
+    follow each other here and there opens (``before``) or closes (``after``)."""
+    order = Window.partitionBy("row_id").orderBy("place")
+    near = F.struct("place", "first", "kept")
+
+    def follows(x, step: int):
+        return F.coalesce((x["place"] == F.col("place") + step) & ~x["first"] & (x["kept"]["row_id"] == F.col("kept.row_id")) & (x["kept"]["place"] == F.col("kept.place") + step), F.lit(False))
+
+    blocks = rows.where("place % 2 = 0").withColumns({"prior": F.lag(near).over(order), "next": F.lead(near).over(order)})
+    ends = blocks.select("row_id", "place", "cluster", "kept", "first", (~follows(F.col("prior"), -2)).alias("opens"), (~follows(F.col("next"), 2)).alias("closes"))
+    ends = written(ends.where("not first and (opens or closes)"), "ends")
+    wanted = ends.groupBy("cluster", "kept").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
+    by_row = wanted.select("cluster", "opens", "closes", "kept.*").groupBy("row_id").agg(F.collect_list(F.struct("cluster", "place", "opens", "closes")).alias("asked"))
+    contexts = written(_contexts(docs.join(by_row, "row_id")).dropDuplicates(["cluster"]), "contexts")
+    known = ends.join(contexts, "cluster").select("row_id", "place", "cluster", F.when(F.col("opens"), F.col("before")).alias("before"), F.when(F.col("closes"), F.col("after")).alias("after"))
+    return rows.drop("kept").join(known, ["row_id", "place", "cluster"], "left")
+
+
 def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``row_id``, ``place``, cluster and ``first`` of every repeated line and block.
+    """``row_id``, ``place``, cluster and ``first`` of every repeated line and block, with
+    the words around the kept occurrence at the ends of each stretch of blocks.
 
     ``docs`` is keyed (``row_id``, ``text``).  ``first`` marks the occurrence that stays,
     the one with the smallest (row_id, place) of its cluster."""
@@ -181,13 +232,25 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, row
     same = equal.join(labels.select("node").withColumn("labelled", F.lit(True)), "node", "left").where("labelled is null").select(F.col("node").alias("cluster"), "row_id", "place")
     found = written(same.unionByName(alike), "repeats")
     keep = found.groupBy("cluster").agg(F.min(F.struct("row_id", "place")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    return found.join(keep, "cluster").select("row_id", "place", "cluster", (F.struct("row_id", "place") == F.col("kept")).alias("first"))
+    rows = found.distinct().join(keep, "cluster").select("row_id", "place", "cluster", "kept", (F.struct("row_id", "place") == F.col("kept")).alias("first"))
+    return _with_contexts(docs, written(rows, "firsts"))
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words from the start are the same."""
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    return int(other[0]) if len(other) else n
 
 
-def spans_to_remove(text: bytes, places: list[int], firsts: list[bool]) -> list[tuple[int, int]]:
-    """Merged byte ranges of a text that go, from its repeated parts."""
+def spans_to_remove(text: bytes, repeats: list[dict]) -> list[tuple[int, int]]:
+    """Merged byte ranges of a text that go, from its repeated parts.
+
+    A stretch of blocks is taken to the true ends of what equals the kept occurrence."""
     parts = Parts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    state = dict(zip(places, firsts, strict=True))
+    state = {r["place"]: r["first"] for r in repeats}
+    sides = {r["place"]: [None if r[s] is None else np.frombuffer(r[s], np.uint32) for s in ("before", "after")] for r in repeats}
+    own = short_words(parts)
     spans: list[list[int]] = []
     _, first, last = parts.lines()
     for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
@@ -212,7 +275,13 @@ def spans_to_remove(text: bytes, places: list[int], firsts: list[bool]) -> list[
                 if x in goes and y in goes:
                     goes.update(range(x, y))
             for x in sorted(goes):
-                spans.append([int(parts.starts[first[x]]), len(text) if last[x] >= len(parts.starts) else int(parts.starts[last[x]])])
+                a, b = int(first[x]), int(last[x])
+                before, after = sides.get(2 * x, (None, None))
+                if before is not None:
+                    a -= _alike(own[:a][::-1], before[::-1])
+                if after is not None:
+                    b += _alike(own[b:], after)
+                spans.append(_bytes_of(parts, a, b))
         k = max(stop, k + 1)
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -223,9 +292,14 @@ def spans_to_remove(text: bytes, places: list[int], firsts: list[bool]) -> list[
     return [(a, b) for a, b in out]
 
 
+def _bytes_of(parts: Parts, a: int, b: int) -> list[int]:
+    """From the start of word a to that of word b."""
+    return [int(parts.starts[a]), len(parts.data) if b >= len(parts.starts) else int(parts.starts[b])]
+
+
 def _with_repeats(docs: DataFrame, **options) -> DataFrame:
     base = keyed(docs)
-    per_row = repeated(base, **options).distinct().groupBy("row_id").agg(F.collect_list(F.struct("place", "first")).alias("repeats"))
+    per_row = repeated(base, **options).groupBy("row_id").agg(F.collect_list(F.struct("place", "first", "before", "after")).alias("repeats"))
     return base.join(per_row, "row_id", "left")
 
 
@@ -234,7 +308,7 @@ def _cut(texts: pa.Array, repeats: pa.Array) -> tuple[list[bytes], list[list[tup
     raw, kept, spans, sizes = data.tobytes(), [], [], []
     for k, found in enumerate(repeats.to_pylist()):
         text = raw[offsets[k] : offsets[k + 1]]
-        gone = spans_to_remove(text, [r["place"] for r in found], [r["first"] for r in found]) if found else []
+        gone = spans_to_remove(text, found) if found else []
         pieces, at = [], 0
         for a, b in gone:
             pieces.append(text[at:a])

@@ -65,6 +65,17 @@ def test_planted_passages_go_and_clean_documents_stay(spark, planted):
             assert got[k].n_removed == 0 and new[k] == t
 
 
+def test_whole_passages_stay_once(spark, planted):
+    docs, holds, passage = planted
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    new = {r.doc_id: " " + " ".join(r.text.split()) + " " for r in p.deduplicated(frame).collect()}
+    for which, ks in holds.items():
+        words = passage[which]
+        assert sum(" ".join(words) in new[k] for k in ks) == 1
+        parts = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)]
+        assert sum(any(x in new[k] for x in parts) for k in ks) == 1
+
+
 def test_near_lines_by_exact_similarity(spark):
     base = [prose(90) for _ in range(8)]
     docs = []
