@@ -9,11 +9,14 @@ gives the same blocks; with a dozen words a block has too few shingles for a cha
 word to stay similar, so its only band is the hash of all its words.  Of every cluster
 the first occurrence stays and the others are removed; blocks are removed only in
 stretches of at least ``RUN_WORDS`` repeated words, which leaves short stock phrases.
+Such stretches are seeds: compared with the words around the kept occurrence they are
+taken to their true ends, and past edits while the whole stays similar.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -243,10 +246,45 @@ def _alike(x: np.ndarray, y: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
+def _steps(own: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
+    """Places in both up to which they are alike, past changed, added and missing words.
+
+    After each edit a shingle of words has to agree."""
+    i = j = _alike(own, other)
+    out = [(i, j)]
+    while True:
+        for p, q in ((1, 1), (1, 0), (0, 1)):
+            n = _alike(own[i + p :], other[j + q :])
+            if n >= SHINGLE:
+                i, j = i + p + n, j + q + n
+                out.append((i, j))
+                break
+        else:
+            return out
+
+
+def _similar(x: list[int], y: list[int]) -> bool:
+    a, b = (Counter(tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))) for w in (x, y))
+    return (a & b).total() >= SIMILARITY * (a | b).total()
+
+
+def near_stretch(own: np.ndarray, a: int, b: int, before: np.ndarray, after: np.ndarray) -> tuple[int, int] | None:
+    """The longest stretch around words a to b, equal in the kept occurrence, that goes on
+    past an edit and is similar to the words there."""
+    left, right = _steps(own[:a][::-1], before[::-1]), _steps(own[b:], after)
+    ways = [(x, y) for x in left for y in right if x != left[0] or y != right[0]]
+    for (i, p), (j, q) in sorted(ways, key=lambda w: -(w[0][0] + w[1][0])):
+        there = [*before[len(before) - p :].tolist(), *own[a:b].tolist(), *after[:q].tolist()]
+        if b - a + i + j >= RUN_WORDS and _similar(own[a - i : b + j].tolist(), there):
+            return a - i, b + j
+    return None
+
+
 def spans_to_remove(text: bytes, repeats: list[dict]) -> list[tuple[int, int]]:
     """Merged byte ranges of a text that go, from its repeated parts.
 
-    A stretch of blocks is taken to the true ends of what equals the kept occurrence."""
+    A stretch of blocks is taken to the true ends of what equals the kept occurrence, and
+    past edits as long as the whole stays similar to it."""
     parts = Parts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     state = {r["place"]: r["first"] for r in repeats}
     sides = {r["place"]: [None if r[s] is None else np.frombuffer(r[s], np.uint32) for s in ("before", "after")] for r in repeats}
@@ -283,6 +321,16 @@ def spans_to_remove(text: bytes, repeats: list[dict]) -> list[tuple[int, int]]:
                     b += _alike(own[b:], after)
                 spans.append(_bytes_of(parts, a, b))
         k = max(stop, k + 1)
+    begin = None
+    for x in range(n):
+        before, after = sides.get(2 * x, (None, None))
+        if before is not None:
+            begin = (int(first[x]), before)
+        if after is not None and begin is not None:
+            reached = near_stretch(own, begin[0], int(last[x]), begin[1], after)
+            if reached:
+                spans.append(_bytes_of(parts, *reached))
+            begin = None
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:

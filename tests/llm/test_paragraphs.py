@@ -76,6 +76,20 @@ def test_whole_passages_stay_once(spark, planted):
         assert sum(any(x in new[k] for x in parts) for k in ks) == 1
 
 
+def test_edited_passages_inside_lines_go(spark):
+    docs = []
+    for k in range(12):
+        passage = prose(60)
+        edited = {0: passage[:30] + ["changed"] + passage[31:], 1: passage[:30] + passage[31:], 2: passage[:30] + ["added"] + passage[30:]}[k % 3]
+        docs += [" ".join(prose(80) + x + prose(80)) for x in (passage, edited)]
+        docs.append(" ".join(prose(80) + [w if i % 9 else "other" for i, w in enumerate(passage)] + prose(80)))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: len(r.text.split()) for r in p.deduplicated(frame).collect()}
+    lost = [[len(docs[i].split()) - got[i] for i in range(k, k + 3)] for k in range(0, len(docs), 3)]
+    whole = [sorted(x[:2])[0] == 0 and 59 <= sorted(x[:2])[1] <= 61 and x[2] == 0 for x in lost]
+    assert sum(whole) >= 11, lost
+
+
 def test_near_lines_by_exact_similarity(spark):
     base = [prose(90) for _ in range(8)]
     docs = []
