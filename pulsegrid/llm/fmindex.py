@@ -6,9 +6,11 @@ positions, and merged into removal spans.  Only stretches of benchmark vocabular
 long enough for a window enter the index: no window can occur anywhere else, so
 nothing is lost and the index stays far smaller than the shard.
 
-Documents are never shuffled.  The benchmark is cut into blocks of at most
+Documents are never shuffled.  The benchmark is cut into blocks of about
 ``block_bytes`` of text; each block is broadcast to a pass of its own over the
-documents, so no broadcast grows with the benchmark.
+documents, written before the next one, so neither a broadcast nor a worker grows
+with the benchmark.  A block keeps its words once, as 32-bit symbols, and its windows
+as places in them; a shard looks up only windows whose last words occur in it.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsegrid.llm.text import owners, ragged, raw_strings, runs, words
+from pulsegrid.llm.storage import written
+from pulsegrid.llm.text import Rolling, owners, ragged, raw_strings, runs, words
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 SAMPLE_EVERY = 16
+#: Words at the end of a window by which a shard chooses the windows that it looks up.
+TAIL = 3
 
 FOUND = T.StructType(
     [
@@ -111,15 +116,14 @@ class FMIndex:
         self.place = np.cumsum(self.sampled) - 1
         self.samples = order[self.sampled]
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of patterns, right-aligned in a matrix of symbols."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        width = patterns.shape[1]
-        for back in range(width):
+    def search(self, symbols: np.ndarray, stops: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix ranges of patterns, given as stretches of ``symbols`` that end at ``stops``."""
+        low, high = np.zeros(len(stops), np.int64), np.full(len(stops), self.n, np.int64)
+        for back in range(int(lengths.max(initial=0))):
             live = np.flatnonzero((lengths > back) & (low < high))
             if not len(live):
                 break
-            symbol = patterns[live, width - 1 - back]
+            symbol = symbols[stops[live] - 1 - back]
             low[live] = self.before[symbol] + self.bwt.rank(symbol, low[live])
             high[live] = self.before[symbol] + self.bwt.rank(symbol, high[live])
         return low, np.maximum(low, high)
@@ -144,29 +148,46 @@ class FMIndex:
 
 
 class Windows:
-    """Distinct windows of benchmark items over their own small vocabulary."""
+    """Distinct windows of benchmark items, as stretches of the items' symbols."""
 
     def __init__(self, item_ids: list, texts: list, window: int = WINDOW):
         data, offsets = raw_strings(pa.array(texts, pa.string()))
         _, _, hashes, word_at = words(data, offsets)
-        self.vocabulary = np.unique(hashes)
-        symbol = np.searchsorted(self.vocabulary, hashes) + 1
+        self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
+        self.symbols = (symbols.reshape(-1) + 1).astype(np.int32)
         counts = np.diff(word_at)
-        length = np.minimum(counts, window)
-        n_windows = np.where(counts > 0, counts - length + 1, 0)
+        size = np.minimum(counts, window)
+        n_windows = np.where(counts > 0, counts - size + 1, 0)
         item = np.repeat(np.arange(len(counts)), n_windows)
-        start = ragged(word_at[:-1], n_windows)
-        rows = np.zeros((len(start), window), np.int64)
-        for k in range(window):
-            at = start + length[item] - 1 - k
-            rows[:, window - 1 - k] = np.where(k < length[item], symbol[np.maximum(at, 0)], 0) if len(symbol) else 0
-        self.patterns, back = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
-        back = back.reshape(-1)
-        self.lengths = (self.patterns > 0).sum(axis=1)
-        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-        order = np.lexsort((item, back))
-        self.item_of = np.array([np.iinfo(np.int64).min if i is None else i for i in item_ids], np.int64)[item[order]]
-        self.item_at = np.searchsorted(back[order], np.arange(len(self.patterns) + 1))
+        stop = ragged(word_at[:-1], n_windows) + size[item]
+        length = size[item]
+        rolling = Rolling(hashes)
+        whole = rolling.spans(stop - length, stop) if len(stop) else np.zeros(0, np.uint64)
+        order = np.lexsort((item, whole))
+        stop, length, item, whole = stop[order], length[order], item[order], whole[order]
+        first = np.ones(len(stop), bool)
+        first[1:] = whole[1:] != whole[:-1]
+        # equal hashes are windows of one kind only if their words agree
+        again = np.flatnonzero(~first)
+        for back in range(window):
+            deep = again[length[again] > back]
+            first[deep] |= self.symbols[stop[deep] - 1 - back] != self.symbols[stop[deep - 1] - 1 - back]
+        first[again] |= length[again] != length[again - 1]
+        self.item_at = np.append(np.flatnonzero(first), len(stop))
+        self.item_of = np.array([np.iinfo(np.int64).min if i is None else i for i in item_ids], np.int64)[item]
+        self.stops, self.lengths = stop[first].astype(np.int32), length[first].astype(np.int32)
+        self.shortest = int(self.lengths.min(initial=window)) if len(self.lengths) else 0
+        tails = rolling.spans(np.maximum(self.stops - TAIL, 0).astype(np.int64), self.stops.astype(np.int64)) if len(self.stops) else np.zeros(0, np.uint64)
+        self.by_tail = np.argsort(tails, kind="stable").astype(np.int32)
+        self.by_tail = self.by_tail[self.lengths[self.by_tail] >= TAIL]
+        self.tails = tails[self.by_tail]
+        self.always = np.flatnonzero(self.lengths < TAIL)
+
+    def ending_in(self, tails: np.ndarray) -> np.ndarray:
+        """Windows whose last words are among ``tails``, and all those of fewer words."""
+        tails = np.unique(tails)
+        low, high = np.searchsorted(self.tails, tails, "left"), np.searchsorted(self.tails, tails, "right")
+        return np.concatenate([self.always, self.by_tail[ragged(low, high - low)]]).astype(np.int64)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Symbol of each word, 0 for words outside the benchmark."""
@@ -194,7 +215,7 @@ def search_shard(texts: pa.Array, windows: Windows) -> dict[str, list]:
     data, offsets = raw_strings(texts)
     n = len(texts)
     counts = np.zeros(n, np.int64)
-    symbols, docs, starts, stops, ordinal = [], [], [], [], []
+    symbols, docs, starts, stops, ordinal, tails = [], [], [], [], [], []
     for i, j in runs(offsets):
         base = offsets[i]
         begin, end, hashes, word_at = words(data[base : offsets[j]], offsets[i : j + 1] - base)
@@ -204,6 +225,9 @@ def search_shard(texts: pa.Array, windows: Windows) -> dict[str, list]:
         if not len(first):
             continue
         at = ragged(first, length)
+        ends = np.maximum(length - TAIL + 1, 0)
+        tail = ragged(first, ends)
+        tails.append(np.unique(Rolling(hashes).spans(tail, tail + TAIL)) if len(tail) else np.zeros(0, np.uint64))
         gap = np.cumsum(length)  # a separator follows every stretch
         doc = owners(word_at)
         symbols.append(np.insert(symbol[at], gap, 0))
@@ -217,8 +241,9 @@ def search_shard(texts: pa.Array, windows: Windows) -> dict[str, list]:
         return found
     text, doc, start, stop, ordinal = (np.concatenate(x) for x in (symbols, docs, starts, stops, ordinal))
     index = FMIndex(text, len(windows.vocabulary) + 1)
-    low, high = index.search(windows.patterns, windows.lengths)
-    pattern = np.repeat(np.arange(len(low)), high - low)
+    asked = windows.ending_in(np.concatenate(tails))
+    low, high = index.search(windows.symbols, windows.stops[asked], windows.lengths[asked])
+    pattern = np.repeat(asked, high - low)
     at = index.locate(ragged(low, high - low))
     if not len(at):
         return found
@@ -285,6 +310,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     schema = T.StructType([*docs.schema.fields, T.StructField("found", FOUND)])
     arrow_found = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("span_start", pa.list_(pa.int64())), ("span_stop", pa.list_(pa.int64())), ("n_hit", pa.int64())])
     for k, (ids, texts) in enumerate(_blocks(benchmark, block_bytes)):
+        if k:
+            out = written(out, "found")  # or else every block's worker would live at once
         shared = spark.sparkContext.broadcast(Windows(ids, texts, window))
 
         def one(batches, shared=shared, again=k > 0):
@@ -317,7 +344,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
 
 def excise(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """Documents with the hit spans cut out of contaminated texts."""
+    """Documents with the hit spans cut out of contaminated texts.
+
+    Null texts stay null; repeated rows are cut one by one; other columns are kept."""
     found = find_contamination(docs, benchmark, text_col=text_col, **options)
     raw = F.encode(F.col(text_col), "UTF-8")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("found.span_stop"))
@@ -327,7 +356,10 @@ def excise(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **opti
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document: the counts, a hash of the items found and the verdict."""
+    """One row per document: the counts, a hash of the items found and the verdict.
+
+    Null and empty texts have no words, no hits and are clean; repeated rows, and rows
+    without an id, are judged one by one; an empty benchmark hits nothing."""
     found = find_contamination(docs.select("doc_id", "text"), benchmark, **options).drop("text")
     names = F.array_join(F.array_sort(F.transform(F.col("found.items"), lambda x: x.cast("string"))), ",")
     return found.select(

@@ -11,7 +11,7 @@ def test_index_finds_every_occurrence():
     index = fmindex.FMIndex(text, 5)
     for k in (1, 2, 3, 5):
         patterns = rng.integers(1, 5, (20, k))
-        low, high = index.search(patterns, np.full(20, k))
+        low, high = index.search(patterns.reshape(-1), np.arange(1, 21) * k, np.full(20, k))
         for p, a, b in zip(patterns, low, high):
             want = [i for i in range(len(text) - k + 1) if (text[i : i + k] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -54,3 +54,23 @@ def test_empty_tables_and_excision(spark):
     bench = spark.createDataFrame([(7, "One two three four")], "item_id long, text string")
     assert sorted(r.text or "" for r in fmindex.excise(docs, bench).collect()) == ["", "keep  end", "keep  end"]
     assert [r.doc_id for r in fmindex.drop_contaminated(docs, bench).collect()] == [2]
+
+
+def test_large_benchmark_block_stays_thin():
+    rng = np.random.default_rng(2)
+    vocab = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(vocab[rng.integers(0, 5000, 200)]) for _ in range(2000)]  # about 2 MB
+    windows = fmindex.Windows(list(range(2000)), texts)
+    held = sum(x.nbytes for x in vars(windows).values() if isinstance(x, np.ndarray))
+    assert len(windows.stops) == 2000 * 188
+    assert held < 12 * sum(map(len, texts))
+    found = fmindex.search_shard(__import__("pyarrow").array([texts[7], "w1 w2 w3", None]), windows)
+    assert found["n_hit"].tolist() == [200, 0, 0] and found["items"] == [[7], [], []]
+
+
+def test_equal_windows_of_items_are_listed_for_both():
+    item = "a b c d e f g h i j k l m"
+    windows = fmindex.Windows([5, 4, None], [item, item + " n", "x y"])
+    assert len(windows.stops) == 3
+    found = fmindex.search_shard(__import__("pyarrow").array(["x y " + item]), windows)
+    assert found["items"] == [[4, 5]] and found["n_hit"].tolist() == [15]
