@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.storage import written
+from pulsegrid.llm.storage import dropped, written
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -40,5 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges do no harm."""
     now = written(_pairs(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
     while _loose(now):
-        now = written(small_star(large_star(now)), "edges")
+        before, now = now, written(small_star(large_star(now)), "edges")
+        dropped(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
