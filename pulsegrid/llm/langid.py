@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pulsegrid.llm.text import owners, raw_strings, runs
+from pulsegrid.llm.text import owners, raw_strings, runs, spread_over
 
 SAMPLE_PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 40
-SAMPLE_BYTES = 8192
+SAMPLE_CHARS = 8192  # of a training text; longer ones are represented by pieces from all over
 RIDGE = 1e-2
 NO_LANGUAGE = "und"
 
@@ -113,16 +113,20 @@ def score(model: Model, texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray,
     return best, np.round(value, 4)
 
 
-def bounded_sample(docs: DataFrame, label: Column, per_class: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list]:
-    """At most ``per_class`` different short texts of each label, chosen by hash."""
-    rows = docs.select(F.col("text"), label.alias("label")).where("label is not null and text is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def bounded_sample(docs: DataFrame, label: Column, per_class: int, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], list]:
+    """At most ``per_class`` different texts of each label, chosen by hash.
+
+    Copies of a text count once, so they cannot crowd out others.  Long texts take part
+    with pieces spread over the whole text, ``most_chars`` characters together."""
+    rows = docs.select(F.col("text"), label.alias("label"), F.xxhash64("text").alias("hash")).where("label is not null and text is not null")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     spread = 1 << 30
-    place = F.pmod(F.xxhash64("text"), F.lit(spread))
+    place = F.pmod(F.col("hash"), F.lit(spread))
     bound = F.lit(0)
     for name, n in counts.items():
-        bound = F.when(F.col("label") == F.lit(name), F.lit(min(spread, int(spread * 2 * per_class / n) + 1))).otherwise(bound)
-    found = rows.where((F.octet_length("text") <= most_bytes) & (place < bound)).withColumn("place", place).dropDuplicates(["text", "label"]).collect()
+        bound = F.when(F.col("label") == F.lit(name), F.lit(min(spread, int(spread * (2 * per_class + 40) / max(1, n)) + 1))).otherwise(bound)
+    near = rows.where(place < bound).select(place.alias("place"), "hash", "label", spread_over(F.col("text"), most_chars).alias("text"))
+    found = near.groupBy("hash", "label").agg(F.min("place").alias("place"), F.min("text").alias("text")).collect()
     texts, labels, taken = [], [], dict.fromkeys(counts, 0)
     for r in sorted(found, key=lambda r: (r["place"], r["text"], str(r["label"]))):
         if taken[r["label"]] < per_class:
@@ -139,7 +143,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str =
     under a model without languages.  Whole texts are read; repeated rows agree.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most SAMPLE_BYTES x landmarks grams
+    shared = spark.sparkContext.broadcast(model)  # at most SAMPLE_CHARS x 3 grams a landmark
     rest = [c for c in docs.columns if c not in (text_col, into, score_col)]
     lettered = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     frame = docs.select(*rest, F.when(lettered, F.col(text_col)).alias(text_col))
@@ -176,7 +180,10 @@ def held_out(parts: int, part: int, id_col: str = "doc_id") -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Fits on rows whose id checksum modulo 4 is not 2 and labels all rows."""
+    """Fits on rows whose id checksum modulo 4 is not 2 and labels all rows.
+
+    Null texts and texts without a letter are ``und`` with score 0; a null id is never
+    held out; repeated rows agree; without labelled texts every row is ``und``."""
     out = held_out(4, 2)
     model = train(docs.where(~out))
     return identify(docs.select("doc_id", out.alias("held_out"), "text"), model)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
 RUN_BYTES = 1 << 20
 
@@ -138,3 +139,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stops = np.flatnonzero(inside & ~after) + 1
     hashes = Rolling.of_bytes(low).spans(starts, stops) if len(starts) else np.zeros(0, np.uint64)
     return starts, stops, hashes, np.searchsorted(starts, offsets, "left")
+
+
+def spread_over(text: Column, most: int, pieces: int = 8) -> Column:
+    """A text of up to ``most`` characters as it is; of a longer one ``pieces`` equal
+    pieces spread evenly from its start to its end, ``most`` characters in all."""
+    size, piece = F.length(text), most // pieces
+    parts = [F.substring(text, (F.lit(1) + F.floor((size - piece) * k / (pieces - 1))).cast("int"), F.lit(piece)) for k in range(pieces)]
+    return F.when(size > most, F.concat(*parts)).otherwise(text)

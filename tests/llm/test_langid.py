@@ -48,3 +48,26 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.digest(docs).collect()] == ["und"]
     assert langid.digest(docs.limit(0)).count() == 0
+
+
+def test_samples_hold_copies_once_and_long_texts(spark):
+    rows = [(i, "same english words " * 3, "en") for i in range(40_000)]
+    rows += [(50_000 + i, f"other english words number {i}", "en") for i in range(400)]
+    rows += [(60_000 + i, f"ein langer deutscher satz {i} " * 2000, "de") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = langid.bounded_sample(docs, docs["lang"], 400)
+    assert labels.count("en") == 400 and labels.count("de") == 50
+    assert max(map(len, texts)) <= langid.SAMPLE_CHARS
+    got = {r.doc_id: r.lang_pred for r in langid.digest(docs).where("doc_id >= 50000").collect()}
+    assert all(v == ("de" if k >= 60_000 else "en") for k, v in got.items())
+
+
+def test_long_texts_are_spread_over(spark):
+    from pulsegrid.llm.text import spread_over
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(97 + i // 100) for i in range(2600))
+    frame = spark.createDataFrame([(text,), ("short",), (None,)], "text string")
+    long, short, none = (r.t for r in frame.select(spread_over(F.col("text"), 80).alias("t")).collect())
+    assert len(long) == 80 and long.startswith("a" * 10) and long.endswith("z" * 10)
+    assert (short, none) == ("short", None)
