@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pulsegrid.llm.langid import held_out
-from pulsegrid.llm.text import raw_strings, runs
+from pulsegrid.llm.text import raw_strings, runs, spread_over
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 8, 24, 16
 BLOCK = 128  # a chunk is two neighbouring blocks, so chunks overlap by half
 SAMPLE_PER_CLASS = 1500
-SAMPLE_BYTES = 6000
+SAMPLE_CHARS = 6000  # of a training text; longer ones are represented by pieces from all over
 EPOCHS = 6
 _PER_BLOCK = BLOCK // STRIDE
 
@@ -89,6 +89,24 @@ def _head(net: Network, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return second @ p["out"] + p["out_shift"], first, second
 
 
+def plain_probability(net: Network, text: bytes) -> float:
+    """One text chunk by chunk and window by window, for tests."""
+    p = net.parts
+    n = max(1, -(-(len(text) + WIDTH) // BLOCK))
+    laid = text + bytes(n * BLOCK - len(text))
+    blocks = [
+        np.max([p["embed"][list(laid[k : k + WIDTH])].reshape(-1) @ p["filters"] for k in range(b * BLOCK, (b + 1) * BLOCK, STRIDE) if k + WIDTH <= len(laid)], axis=0)
+        for b in range(n)
+    ]
+    logits = []
+    for b in range(n):
+        chunk = np.maximum(blocks[b], blocks[min(b + 1, n - 1)])
+        first = np.maximum(chunk + p["shift"], 0)
+        second = np.maximum(first @ p["hidden"] + p["hidden_shift"], 0)
+        logits.append(float(second @ p["out"] + p["out_shift"][0]))
+    return float(1 / (1 + np.exp(-np.mean(logits))))
+
+
 def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     laid, at = laid_out(data, offsets)
     block, _, _ = _pooled(net, laid, at)
@@ -148,21 +166,26 @@ def fit(texts: list[str], labels: list[int], weights: list[float], epochs: int =
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int], list[float]]:
-    """At most ``per_class`` short labelled texts of either class, chosen by hash of
-    the id, with weights that restore the classes' shares.  Of several labels of one
-    document the lower counts."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int], list[float]]:
+    """At most ``per_class`` labelled texts of either class, chosen by hash of the id,
+    with weights that restore the classes' shares.
+
+    Of several labels of one document the lower counts, and of several rows of one id
+    the text with the smallest hash, so no id crowds out others.  Long texts take part
+    with pieces spread over the whole text, ``most_chars`` characters together."""
     held = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r["quality"]: r["n"] for r in held.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     spread = 1 << 30
     place = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(spread))
     bound = F.lit(0)
     for name, n in counts.items():
-        bound = F.when(F.col("quality") == name, F.lit(min(spread, int(spread * 1.5 * per_class / n) + 1))).otherwise(bound)
+        bound = F.when(F.col("quality") == name, F.lit(min(spread, int(spread * (1.5 * per_class + 40) / n) + 1))).otherwise(bound)
     chosen = held.withColumn("place", place).where(F.col("place") < bound)  # a few thousand ids, whatever the input
-    found = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").orderBy("place", "text").limit(4 * per_class).collect()
+    text = F.coalesce("text", F.lit(""))
+    near = docs.select("doc_id", F.xxhash64(text).alias("hash"), spread_over(text, most_chars).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = near.groupBy("place", "doc_id", "quality").agg(F.min_by("text", F.struct("hash", "text")).alias("text")).collect()
     texts, marks, taken = [], [], dict.fromkeys(counts, 0)
-    for r in found:
+    for r in sorted(found, key=lambda r: (r["place"], r["doc_id"])):
         if taken[r["quality"]] < per_class:
             taken[r["quality"]] += 1
             texts.append(r["text"])
@@ -211,7 +234,10 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: held_out, score, predicted."""
+    """One row per document: held_out, score, predicted.
+
+    Null and empty texts are scored as the empty text; a null id is never held out;
+    repeated rows agree; without labels of both kinds every score is the same."""
     net = train(docs.where(~unseen()), labels.where(~unseen()))
     rated = rate(docs.select("doc_id", "text"), net, into="score", keep_text=False)
     return rated.select("doc_id", unseen().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -60,3 +60,23 @@ def test_nothing_to_learn_from(spark):
     assert [r.score for r in quality.digest(docs, labels).collect()] == [0.5, 0.5]
     assert quality.accepted(docs, labels).count() == 2
     assert quality.digest(docs.limit(0), labels).count() == 0
+
+
+def test_scores_equal_a_plain_forward_pass():
+    net = quality.Network.fresh(np.random.default_rng(5))
+    texts = ["", "b", "hello world " * 40, "é" * 130, "x" * 120, "long text, " * 900]
+    got = quality.probabilities(net, *_offsets(texts))
+    want = [quality.plain_probability(net, t.encode()) for t in texts]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_samples_are_not_crowded_and_hold_long_texts(spark):
+    rows = [(1, f"row {i} of one id") for i in range(20_000)]
+    rows += [(i, f"good text {i} " * 3) for i in range(2, 300)]
+    rows += [(1000 + i, f"long bad text {i} " * 1000) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 300)] + [(1000 + i, 0) for i in range(60)], "doc_id long, quality int")
+    texts, marks, weights = quality.sample(docs, labels)
+    assert marks.count(1) == 299 and marks.count(0) == 60
+    assert max(map(len, texts)) <= quality.SAMPLE_CHARS
+    assert abs(sum(weights) - 359) < 1e-6
