@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm.storage import written
 
-REF = r'"\$ref"\s*:\s*"([^"\\]*)"'
+#: A reference in canonical JSON, its id still escaped.  A quote inside a string is
+#: escaped there, so no string value can look like a key.
+REF = r'"\$ref"\s*:\s*"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 
 
 def first_by(df: DataFrame, keys: list[str], order: Column, name: str = "first") -> DataFrame:
@@ -92,31 +94,49 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return rows.withColumn("errors", errors).drop("kinds", "params")
 
 
+def references(parsed: Column) -> Column:
+    """Different ids that a variant refers to, at any depth, as they read unescaped."""
+    raw = F.regexp_extract_all(F.coalesce(F.to_json(parsed), F.lit("")), F.lit(REF), F.lit(1))
+    read = F.from_json(F.concat(F.lit('["'), F.array_join(raw, '","'), F.lit('"]')), "array<string>")
+    return F.when(F.size(raw) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(read))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call: its level, result, errors and canonical JSON.
 
     ``calls``: conv_id, call_id, turn, position, tool, arguments.  ``results``: conv_id,
     call_id, turn, text.  A call's result is the first one after it with its id in its
     conversation; where an id repeats, the first call gets it and the others are
-    ``duplicate``.  Calls without a result are ``pending``, calls without an id or
-    conversation ``unlinked``.  ``level`` is null in and behind cycles of references;
-    references to unknown ids don't count and are listed in ``dangling``."""
+    ``duplicate``, of equal calls all but one.  Calls without a result are ``pending``,
+    calls without an id or conversation ``unlinked``: those are met by nothing and never
+    join.  ``level`` is null in and behind cycles of references; references to unknown
+    ids don't count and are listed in ``dangling``.  Empty tables give no rows.
+
+    Joins run over thin rows (hashes in place of arguments); a call's arguments are
+    shuffled once to count its copies and once to meet what was found about it."""
+    named = ["conv_id", "call_id", "turn", "position", "tool", "arguments"]
     key = F.to_json(F.array(F.col("conv_id").cast("string"), F.col("call_id")))
-    place = F.struct("turn", "position", "tool", "arguments")
-    held = validated(calls, schemas).withColumn("node", F.when(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), key))
-    heads = first_by(calls.where("conv_id is not null and call_id is not null").withColumn("node", key), ["node"], place, "head")
-    refs = F.array_distinct(F.regexp_extract_all(F.coalesce(F.to_json("parsed"), F.lit("")), F.lit(REF), F.lit(1)))
-    held = held.withColumn("refs", refs)
-    edges = held.where("node is not null").select("node", "conv_id", F.explode("refs").alias("call_id")).select("node", "call_id", key.alias("parent"))
-    known = edges.join(heads.select(F.col("node").alias("parent")), "parent", "left_semi")
-    ranked = levels(known.select("node", "parent"))
-    missing = edges.join(heads.select(F.col("node").alias("parent")), "parent", "left_anti").groupBy("node").agg(F.array_sort(F.collect_set("call_id")).alias("dangling"))
-    answers = results.where("conv_id is not null and call_id is not null").withColumn("node", key).select("node", F.col("turn").alias("result_turn"), F.col("text").alias("result"))
+    place = F.struct("turn", "position", "tool", F.md5("arguments").alias("body"))
+    kinds = calls.select(*named).groupBy(*named).agg(F.count("*").cast("int").alias("copies"))
+    held = validated(kinds, schemas).withColumn("node", F.when(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull(), key))
+    held = held.withColumns({"refs": F.when(F.col("parsed").isNotNull(), references(F.col("parsed"))).otherwise(F.array().cast("array<string>")), "place": place})
+    nodes = F.col("node").isNotNull()
+    thin = written(held.where(nodes).select("node", "conv_id", "place", "refs"), "calls")
+    heads = first_by(thin, ["node"], F.col("place"), "head")
+    edges = thin.select("node", "conv_id", F.explode("refs").alias("call_id")).select("node", "call_id", key.alias("parent"))
+    met = edges.join(heads.select(F.col("node").alias("parent"), F.lit(True).alias("found")), "parent", "left")
+    ranked = levels(met.where("found").select("node", "parent")).withColumn("ordered", F.lit(True))
+    missing = met.where("found is null").groupBy("node").agg(F.array_sort(F.collect_set("call_id")).alias("dangling"))
+    # results of one id and turn meet before the join: a call asked often costs one row a turn
+    answers = results.where("conv_id is not null and call_id is not null").withColumn("node", key).groupBy("node", F.col("turn").alias("result_turn")).agg(F.min("text").alias("result"))
     timely = answers.hint("shuffle_hash").join(heads, "node").where("result_turn > head.turn or head.turn is null")
     answers = timely.groupBy("node").agg(F.min(F.struct("result_turn", "result")).alias("answer"))
-    joined = held.join(heads, "node", "left").join(answers, "node", "left").join(ranked, "node", "left").join(missing, "node", "left").join(ranked.select("node", F.lit(True).alias("ordered")), "node", "left")
-    primary = F.col("node").isNotNull() & place.eqNullSafe(F.col("head"))
-    state = F.when(F.col("node").isNull(), "unlinked").when(~primary, "duplicate").when(F.col("answer").isNull(), "pending").otherwise("answered")
+    facts = heads.join(ranked, "node", "left").join(missing, "node", "left").join(answers, "node", "left")
+    linked = held.where(nodes).join(facts, "node")
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in facts.schema.fields if f.name != "node"}
+    joined = linked.unionByName(held.where(~nodes).withColumns(nothing)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    primary = nodes & F.col("place").eqNullSafe(F.col("head")) & (F.col("copy") == 1)
+    state = F.when(~nodes, "unlinked").when(~primary, "duplicate").when(F.col("answer").isNull(), "pending").otherwise("answered")
     result = F.when(state == "answered", F.col("answer.result"))
     canonical = F.to_json(F.struct(F.col("parsed").alias("arguments"), F.array_sort("refs").alias("depends_on"), F.col("call_id").alias("id"), F.col("tool").alias("name"), result.alias("result")))
     return joined.select(

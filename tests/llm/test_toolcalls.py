@@ -83,3 +83,19 @@ def test_query_equals_sql(spark, sf_dir):
     names = sorted(got.columns)
     want = con.execute(f"select {', '.join(names)} from ({t.ORACLE})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(*names).collect())
+
+
+def test_ids_of_any_characters_equal_calls_and_extra_columns(spark):
+    odd = ["b\\q", 'say "hi"', "tab\there", "é\u0001", "", '","', "$ref"]
+    calls = [(1, x, 1, 0, "note", '{"text":"t"}', 5) for x in odd]
+    calls += [(1, "user", 2, 0, "note", json.dumps({"text": 'not a "$ref":"zz" one', "after": {"$ref": x, "deep": [{"$ref": "b\\q"}]}}), 5) for x in odd]
+    calls += [(2, "twin", 1, 0, "note", "{}", 5)] * 3 + [(None, None, None, None, None, None, None)] * 2
+    calls = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, position int, tool string, arguments string, node int")
+    results = spark.createDataFrame([(2, "twin", 2, "r")] * 2 + [(2, "twin", k, "later") for k in range(3, 50)], "conv_id long, call_id string, turn long, text string")
+    got = t.link(calls, results, t.schema_table(spark)).collect()
+    assert len(got) == calls.count()
+    users = [r for r in got if r.call_id == "user"]
+    assert {r.level for r in users} == {1} and all(r.dangling == [] for r in users)
+    assert sorted(x for r in users for x in json.loads(r.canonical)["depends_on"] if x != "b\\q") == sorted(odd[1:])
+    assert sorted(r.state for r in got if r.conv_id == 2) == ["answered", "duplicate", "duplicate"]
+    assert [r.state for r in got if r.conv_id is None] == ["unlinked"] * 2
