@@ -26,7 +26,7 @@ def op2_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm import suffixes
 
-    return suffixes.digest(_table(spark, sf_dir, "documents")).drop("spans")
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
