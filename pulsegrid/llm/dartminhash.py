@@ -17,14 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsegrid.llm.components import components
-from pulsegrid.llm.storage import written
+from pulsegrid.llm.storage import dropped, written
 from pulsegrid.llm.text import Rolling, fold, mix, ragged, raw_strings, runs, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 256
-RESIDUAL_ROUNDS = 2
 #: Buckets of up to PAIRED nodes are finished pair by pair, larger ones in cells of CELL by CELL nodes.
 PAIRED = 16
 CELL = 512
@@ -194,39 +193,16 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 def linked(hits: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """``node`` and ``component`` of nodes with verified partners.
 
-    ``hits`` has node, key and ``n``, the number of nodes under that key."""
+    ``hits`` has node, key and ``n``, the number of nodes under that key.  First every
+    node is compared with the centre of each of its buckets, the node that meets most
+    others: a group of copies becomes a star.  Then every pair of nodes that share a
+    bucket, and that no star has joined, is compared, so no link between components is
+    lost."""
     weight = hits.groupBy("node").agg(F.sum("n").alias("weight"))
-    centre = hits.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("b"))
-    starred = written(hits.join(centre, "key").select(F.col("node").alias("a"), "b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("met")), "stars")
-    # first the centre that a node meets most often, then the others if that did not join them
-    first = starred.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
-    links = written(verified(_with_degree(first), sets, least), "links")
+    centre = hits.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
+    stars = written(hits.join(centre, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct(), "stars")
+    links = written(verified(_with_degree(stars), sets, least), "links")
     labels = written(components(links), "labels")
-    tried = written(first, "tried")
-    for turn in range(RESIDUAL_ROUNDS + 1):
-        if turn == 0:
-            pairs = starred.select("a", "b")
-        else:
-            # one node stands for each component of a bucket; another one every time
-            place = F.xxhash64("node", F.lit(turn))
-            stands = _labelled(hits, labels).groupBy("key", "component").agg(F.max_by("node", place).alias("node"))
-            lead = stands.groupBy("key").agg(F.max_by("node", F.xxhash64("component", F.lit(turn))).alias("b"), F.count("*").alias("kinds")).where("kinds > 1")
-            pairs = stands.join(lead, "key").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-        apart = _apart(pairs, labels).join(tried, ["a", "b"], "left_anti")
-        apart = written(apart, "apart")
-        if apart.isEmpty():
-            continue
-        more = written(verified(_with_degree(apart), sets, least), "links")
-        tried = tried.unionByName(apart)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = written(components(links), "labels")
-    return _finished(hits, sets, least, links, labels, tried)
-
-
-def _finished(hits: DataFrame, sets: DataFrame, least: float, links: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """``labels`` after every pair of nodes that share a bucket, and lie in different
-    components, has been compared."""
     held = _labelled(hits, labels)
     parts = held.groupBy("key", "component").agg(F.count("*").alias("c"))
     bulk = parts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main")).where("kinds > 1")
@@ -234,10 +210,20 @@ def _finished(hits: DataFrame, sets: DataFrame, least: float, links: DataFrame,
     small = held.where(F.col("n") <= PAIRED).select("key", "node", "component")
     other = small.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
     pairs = small.join(other, "key").where("node < b and component <> cb").select(F.col("node").alias("a"), "b").distinct()
-    met = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(met, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(_with_degree(pairs), sets, least).unionByName(_in_cells(held.where(F.col("n") > PAIRED), sets, least)), "links")
-    return labels if more.isEmpty() else written(components(links.unionByName(more)), "labels")
+    dropped(stars, links, held, pairs)
+    if more.isEmpty():
+        return labels
+    # only the components that the new links join are looked at again
+    of = labels.select("node", "component")
+    ends = more.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    joined = written(joined.select(F.col("node").alias("part"), F.col("component").alias("whole")), "joined")
+    known = labels.join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
+    fresh = joined.join(labels, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("whole").alias("component"))
+    return written(known.unionByName(fresh), "labels")
 
 
 def _in_cells(held: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -320,10 +306,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     ``class_id``, the smallest doc_id of its class.
 
     Equal texts that are not null or without words share a node.  Candidates are
-    compared with the most central node of each bucket (the one met by most others);
-    buckets that then still hold several components are tried again through other
-    nodes, and what is still apart is compared pair by pair.  The hot case is a star;
-    all pairs are met only between components that no star has joined."""
+    compared with the most central node of each bucket (the one met by most others),
+    then pair by pair where that left them apart.  The hot case is a star; all pairs
+    are met only between components that no star has joined."""
     keyed = _keyed(docs, text_col)
     signed = _sign(keyed, bands, rows)
     nodes = written(
@@ -334,7 +319,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     crowded = hits.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hits = written(hits.join(crowded, "key"), "buckets")
     wanted = hits.select("node").distinct().join(nodes.select("node", "text_key", "least_id"), "node")
-    sets = written(_sets(keyed.join(wanted, (keyed["text_key"] == wanted["text_key"]) & keyed["doc_id"].eqNullSafe(wanted["least_id"])).select("node", "text")), "sets")
+    ones = keyed.join(wanted, (keyed["text_key"] == wanted["text_key"]) & keyed["doc_id"].eqNullSafe(wanted["least_id"]))
+    # repeated rows come once: a set row each, or else a pair would be compared many times
+    sets = written(_sets(ones.select("node", "text").dropDuplicates(["node"])), "sets")
     labels = linked(hits, sets, least)
     grouped = nodes.select("node", "text_key", "least_id", "copies", F.size("bands").alias("n_bands")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_ids = grouped.groupBy("component").agg(F.min("least_id").alias("class_id"), F.min_by("node", F.struct(F.col("least_id").isNull(), "least_id", "node")).alias("kept_node"))
@@ -345,13 +332,6 @@ def _labelled(hits: DataFrame, labels: DataFrame) -> DataFrame:
     return hits.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that lie in different components so far."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
 def digest(docs: DataFrame, **options) -> DataFrame:
     """One row per document: class_id (smallest doc_id of the class) and whether its
     text is the one to keep.

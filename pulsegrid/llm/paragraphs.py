@@ -1,16 +1,19 @@
 """Substring dedup: repeated paragraphs by MinHash banding.
 
-Two kinds of paragraph are looked at.  *Lines* are newline paragraphs of at least
-``LINE_WORDS`` words; their MinHash bands are tuned for high recall at the similarity
-asked for, colliding lines are joined through a central one, verified by exact Jaccard
-similarity of their word shingles, and clustered by components.  *Blocks* divide the
-words of a text at content-defined places, so that a passage put into other text still
-gives the same blocks; with a dozen words a block has too few shingles for a changed
-word to stay similar, so its only band is the hash of all its words.  Of every cluster
-the first occurrence stays and the others are removed; blocks are removed only in
-stretches of at least ``RUN_WORDS`` repeated words, which leaves short stock phrases.
-Such stretches are seeds: compared with the words around the kept occurrence they are
-taken to their true ends, and past edits while the whole stays similar.
+Two kinds of paragraph are looked at, both of ``LEAST_WORDS`` words or more.
+
+*Lines* are newline paragraphs.  Their MinHash bands are tuned for high recall at the
+similarity asked for, colliding lines are joined through a central one, verified by
+exact Jaccard similarity of their word shingles, and clustered by components.
+
+*Passages* are stretches of words anywhere in a text.  The MinHash of the shingles of
+a window of words is its smallest shingle hash; windows that overlap mostly share it,
+so all windows of a text together need one row for each different minimum, its anchor.
+That is a band of one row for every one of the dozens of windows that a passage holds.
+Texts with one anchor meet at the first of them, where the words around are compared:
+what is equal, and what goes on past edits while its exact Jaccard similarity holds,
+is a repeat.  Inside a text a place meets the one before.  As everything points to an
+earlier place, one occurrence stays of every component of similar passages.
 """
 
 from __future__ import annotations
@@ -20,22 +23,22 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.dartminhash import linked
-from pulsegrid.llm.storage import written
-from pulsegrid.llm.suffixes import keyed, sliding_min
+from pulsegrid.llm.skew import met
+from pulsegrid.llm.storage import dropped, written
+from pulsegrid.llm.suffixes import KEYS, keyed, sliding_min
 from pulsegrid.llm.text import Rolling, fold, ragged, raw_strings, runs, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-LINE_WORDS = 20
+#: Repeats of fewer words stay: headings, stock phrases, licence lines.
+LEAST_WORDS = 18
 BANDS, ROWS = 6, 2  # recall at a similarity of 0.8: 1 - (1 - 0.8**2)**6 = 0.998
-CUT_WINDOW = 16
-CUT_GRAM = 3
-BLOCK_WORDS = 4
-RUN_WORDS = 18
-REACH = 64  # words of the kept occurrence that are known on each side of a repeated stretch
+WINDOW = 14  # shingles of a window: LEAST_WORDS words
+REACH = 48  # words of the first occurrence that are known on each side of its anchors
+TILE = 48  # words that are looked up together
 
 
 class Parts:
@@ -61,21 +64,22 @@ class Parts:
         breaks = np.concatenate([[0], np.cumsum(self.data == 0x0A)])[self.starts]
         return self._ranges(np.concatenate([[True], breaks[1:] != breaks[:-1]])[: len(breaks)])
 
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cut before each word whose gram is the smallest in some window of grams."""
-        cut = np.zeros(len(self.starts), bool)
-        reach = CUT_WINDOW + CUT_GRAM - 1
-        if len(cut) >= reach:
-            grams = self.rolling.grams(CUT_GRAM)
-            half = np.uint64(32)
-            placed = (grams >> half << half) | np.arange(len(grams), dtype=np.uint64)
-            least = (sliding_min(placed, CUT_WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            inside = self.owner[: len(least)] == self.owner[reach - 1 : reach - 1 + len(least)]
-            cut[least[inside]] = True
-        return self._ranges(cut)
-
-    def content(self, first: np.ndarray, last: np.ndarray, kind: int) -> np.ndarray:
-        return fold(self.rolling.spans(first, last), 100 + kind)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles that are smallest in some window inside one text, and
+        the words at which they start."""
+        reach = WINDOW + SHINGLE - 1
+        if len(self.starts) < reach:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        grams = self.rolling.grams(SHINGLE)
+        half = np.uint64(32)
+        placed = (grams >> half << half) | np.arange(len(grams), dtype=np.uint64)
+        least = (sliding_min(placed, WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        inside = self.owner[: len(least)] == self.owner[reach - 1 : reach - 1 + len(least)]
+        at = np.unique(least[inside])
+        return grams[at], at
+
+    def content(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return fold(self.rolling.spans(first, last), 101)
 
     def shingles(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Part and hash of every shingle."""
@@ -85,59 +89,71 @@ class Parts:
         return part, self.rolling.spans(start, np.minimum(start + SHINGLE, last[part]))
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """Content hash of each line and block; ``place`` is twice its number in the text, plus 1 for lines."""
+def within_texts(owner: np.ndarray, gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which anchors are the first of their kind in a text, and for the others owner,
+    shift to the one before, first and last word, an entry for each shift of a text."""
+    order = np.lexsort((at, gram, owner))
+    again = np.zeros(len(at), bool)
+    again[1:] = (owner[order[1:]] == owner[order[:-1]]) & (gram[order[1:]] == gram[order[:-1]])
+    first = np.ones(len(at), bool)
+    first[order[again]] = False
+    places = np.flatnonzero(again)
+    of, place = owner[order[places]], at[order[places]]
+    shift = place - at[order[places - 1]]
+    by = np.lexsort((place, shift, of))
+    of, shift, place = of[by], shift[by], place[by]
+    opens = np.ones(len(of), bool)
+    opens[1:] = (of[1:] != of[:-1]) | (shift[1:] != shift[:-1])
+    closes = np.append(opens[1:], True)[: len(of)]
+    return first, (of[opens], shift[opens], place[opens], place[closes])
+
+
+def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Anchors (``band`` -1), repeats inside a text (-2) and line bands of every text,
+    which is cut into words once.
+
+    ``place`` is a word's number for anchors, with ``node`` a second hash of the
+    shingle; for lines it is the line's number, with ``node`` the hash of its words; for
+    repeats it is the first word, with the shift as ``key`` and the last as ``node``."""
+    schema = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("row_key", pa.int64()), ("row_id", pa.int64()), ("place", pa.int32())])
 
     def one(batches):
         for batch in batches:
-            ident = batch.column(0).to_numpy()
-            data, offsets = raw_strings(batch.column(1))
+            row_key, row_id = (batch.column(k).to_numpy() for k in (0, 1))
+            data, offsets = raw_strings(batch.column(2))
             for i, j in runs(offsets):
                 parts = Parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                out = []
-                for kind, (doc, first, last), least in ((0, parts.blocks(), BLOCK_WORDS), (1, parts.lines(), LINE_WORDS)):
-                    number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                    keep = last - first >= least
-                    out.append((parts.content(first, last, kind)[keep], ident[i + doc[keep]], (number * 2 + kind)[keep]))
-                content, row, place = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(row), pa.array(place.astype(np.int32))], names=["node", "row_id", "place"])
-
-    return docs.select("row_id", "text").mapInArrow(one, "node long, row_id long, place int")
-
-
-def _band_rows(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Band keys of each line, with where the line stands."""
-
-    def one(batches):
-        for batch in batches:
-            ident = batch.column(0).to_numpy()
-            data, offsets = raw_strings(batch.column(1))
-            for i, j in runs(offsets):
-                parts = Parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                doc, first, last = parts.lines()
+                gram, at = parts.anchors()
+                first, inner = within_texts(parts.owner[at], gram, at)
+                gram, at = gram[first], at[first]
+                second = Rolling(fold(parts.hashes, 71)).spans(at, at + SHINGLE) if len(at) else gram
+                doc, first_word, last = parts.lines()
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                keep = last - first >= LINE_WORDS
-                doc, first, last, number = doc[keep], first[keep], last[keep], number[keep]
-                part, shingle = parts.shingles(first, last)
+                keep = last - first_word >= LEAST_WORDS
+                doc, first_word, last, number = doc[keep], first_word[keep], last[keep], number[keep]
+                part, shingle = parts.shingles(first_word, last)
                 begin = np.searchsorted(part, np.arange(len(doc)))
-                keys = []
+                keys = [gram, inner[1].astype(np.uint64)]
                 for b in range(bands):
                     key = np.full(len(doc), b, np.uint64)
                     for r in range(rows):
                         if len(doc):
                             key = fold(key, 7) + np.minimum.reduceat(fold(shingle, 1000 + b * rows + r), begin)
                     keys.append(fold(key, 13))
-                node = parts.content(first, last, 1).view(np.int64)
+                of = np.concatenate([parts.owner[at], inner[0], np.tile(doc, bands)]) + i
+                start = parts.first_word
+                place = np.concatenate([at - start[parts.owner[at]], inner[2] - start[inner[0]], np.tile(number, bands)])
+                band = np.concatenate([np.full(len(at), -1), np.full(len(inner[0]), -2), np.repeat(np.arange(bands), len(doc))])
+                node = np.concatenate([second, (inner[3] - start[inner[0]]).astype(np.uint64), np.tile(parts.content(first_word, last), bands)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(node, bands)), pa.array(np.tile(ident[i + doc], bands)), pa.array(np.tile(number * 2 + 1, bands).astype(np.int32))],
-                    names=["key", "node", "row_id", "place"],
+                    [pa.array(band.astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(node.view(np.int64)), pa.array(row_key[of]), pa.array(row_id[of]), pa.array(place.astype(np.int32))], schema=schema
                 )
 
-    return docs.select("row_id", "text").mapInArrow(one, "key long, node long, row_id long, place int")
+    return docs.select("row_key", "row_id", "text").mapInArrow(one, "band int, key long, node long, row_key long, row_id long, place int")
 
 
 def _line_sets(joined: DataFrame) -> DataFrame:
-    """Sorted shingle hashes of the lines that are asked for."""
+    """Sorted 32-bit hashes of the different shingles of the lines that are asked for."""
 
     def one(batches):
         for batch in batches:
@@ -150,93 +166,102 @@ def _line_sets(joined: DataFrame) -> DataFrame:
                 at = np.searchsorted(doc, np.arange(j - i))
                 for k in range(i, j):
                     for want in asked[k]:
-                        line = at[k - i] + want["place"] // 2
+                        line = at[k - i] + want["place"]
                         _, shingle = parts.shingles(first[line : line + 1], last[line : line + 1])
-                        order = np.sort(shingle)
-                        nth = np.arange(len(order)) - np.searchsorted(order, order)
-                        short = fold(order + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 41) >> np.uint64(32)
                         nodes.append(want["node"])
-                        sets.append(np.sort(short.astype(np.uint32)).tobytes())
+                        sets.append(np.unique((fold(np.unique(shingle), 41) >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return joined.select("text", "asked").mapInArrow(one, "node long, shingles binary")
 
 
-def _contexts(joined: DataFrame) -> DataFrame:
-    """Word hashes on both sides of the kept blocks that are asked for, ``REACH`` at most."""
+def _tiles(joined: DataFrame) -> DataFrame:
+    """Word hashes of the tiles that are asked for."""
+    schema = pa.schema([("to_key", pa.int64()), ("to_id", pa.int64()), ("tile", pa.int32()), ("n", pa.int64()), ("words", pa.binary())])
 
     def one(batches):
         for batch in batches:
-            data, offsets = raw_strings(batch.column(0))
-            asked = batch.column(1).to_pylist()
+            data, offsets = raw_strings(batch.column(2))
+            row_key, row_id, asked = (batch.column(k).to_pylist() for k in (0, 1, 3))
             rows = []
             for i, j in runs(offsets):
                 parts = Parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                doc, first, last = parts.blocks()
-                at = np.searchsorted(doc, np.arange(j - i))
                 short = short_words(parts)
                 for k in range(i, j):
-                    low, high = parts.word_at[k - i], parts.word_at[k - i + 1]
-                    for want in asked[k]:
-                        block = at[k - i] + want["place"] // 2
-                        before = short[max(low, first[block] - REACH) : first[block]].tobytes() if want["opens"] else None
-                        after = short[last[block] : min(high, last[block] + REACH)].tobytes() if want["closes"] else None
-                        rows.append((want["cluster"], before, after))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["cluster", "before", "after"])
+                    own = short[parts.word_at[k - i] : parts.word_at[k - i + 1]]
+                    rows += [(row_key[k], row_id[k], w["tile"], w["n"], own[w["tile"] * TILE : (w["tile"] + 1) * TILE].tobytes()) for w in asked[k]]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return joined.select("text", "asked").mapInArrow(one, "cluster long, before binary, after binary")
+    return joined.select("row_key", "row_id", "text", "asked").mapInArrow(one, "to_key long, to_id long, tile int, n long, words binary")
 
 
 def short_words(parts: Parts) -> np.ndarray:
     return (parts.hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def _with_contexts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` with the words around the kept occurrence, where a stretch of blocks that
-    follow each other here and there opens (``before``) or closes (``after``)."""
-    order = Window.partitionBy("row_id").orderBy("place")
-    near = F.struct("place", "first", "kept")
+def _counted(rows: DataFrame) -> int:
+    return rows.agg(F.sum("n")).first()[0] or 0
 
-    def follows(x, step: int):
-        return F.coalesce((x["place"] == F.col("place") + step) & ~x["first"] & (x["kept"]["row_id"] == F.col("kept.row_id")) & (x["kept"]["place"] == F.col("kept.place") + step), F.lit(False))
 
-    blocks = rows.where("place % 2 = 0").withColumns({"prior": F.lag(near).over(order), "next": F.lead(near).over(order)})
-    ends = blocks.select("row_id", "place", "cluster", "kept", "first", (~follows(F.col("prior"), -2)).alias("opens"), (~follows(F.col("next"), 2)).alias("closes"))
-    ends = written(ends.where("not first and (opens or closes)"), "ends")
-    wanted = ends.groupBy("cluster", "kept").agg(F.max("opens").alias("opens"), F.max("closes").alias("closes"))
-    by_row = wanted.select("cluster", "opens", "closes", "kept.*").groupBy("row_id").agg(F.collect_list(F.struct("cluster", "place", "opens", "closes")).alias("asked"))
-    contexts = written(_contexts(docs.join(by_row, "row_id")).dropDuplicates(["cluster"]), "contexts")
-    known = ends.join(contexts, "cluster").select("row_id", "place", "cluster", F.when(F.col("opens"), F.col("before")).alias("before"), F.when(F.col("closes"), F.col("after")).alias("after"))
-    return rows.drop("kept").join(known, ["row_id", "place", "cluster"], "left")
+def repeated_lines(docs: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """``row_key``, ``row_id``, ``place`` of every line that repeats an earlier one."""
+    here = F.struct("row_key", "row_id", "place")
+    pairs = units.where("band >= 0").select("key", "node").distinct()
+    hits = written(pairs.join(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
+    lines = units.where("band = 0").select("node", "row_key", "row_id", "place")
+    kinds = written(lines.groupBy("node").agg(F.count("*").alias("n"), F.min(here).alias("kept")), "lines")
+    asked = kinds.join(hits.select("node").distinct(), "node", "left_semi").select("node", "kept.*")
+    by_row = asked.groupBy("row_key", "row_id").agg(F.collect_list(F.struct("node", "place")).alias("asked"))
+    sets = written(_line_sets(docs.join(by_row, ["row_key", "row_id"])).dropDuplicates(["node"]), "sets")
+    labels = linked(hits, sets, least)
+    # of equal lines and of those in one component the first stays
+    found = kinds.join(labels, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
+    first = found.groupBy("cluster").agg(F.min("kept").alias("first"), F.sum("n").alias("all")).where("all > 1")
+    clusters = written(found.select("node", "cluster", "n").join(first, "cluster").select("node", "n", F.col("first").alias("kept")), "clusters")
+    gone = met(lines, clusters, ["node"], _counted(clusters)).where(here != F.col("kept"))
+    gone = written(gone.select("row_key", "row_id", "place"), "repeats")
+    dropped(hits, sets, kinds, clusters)
+    return gone
+
+
+def repeated_passages(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """What each text shares with earlier texts, by row: ``shared`` holds the row and the
+    offset of an earlier place, the first and last anchor word, and the words there."""
+    anchors = units.where("band = -1").select("key", "node", "row_key", "row_id", "place")
+    here = F.struct("row_key", "row_id", "place")
+    common = written(anchors.groupBy("key", "node").agg(F.count("*").alias("n"), F.min(here).alias("kept")).where("n > 1"), "anchors")
+    later = met(anchors, common, ["key", "node"], _counted(common)).where(here != F.col("kept"))
+    shift = (F.col("place") - F.col("kept.place")).alias("shift")
+    matches = later.groupBy("row_key", "row_id", F.col("kept.row_key").alias("to_key"), F.col("kept.row_id").alias("to_id"), shift).agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    matches = written(matches, "matches")
+    low, high = F.greatest(F.lit(0), F.col("low") - F.col("shift") - REACH), F.col("high") - F.col("shift") + SHINGLE + REACH
+    wanted = matches.withColumn("tile", F.explode(F.sequence((low / TILE).cast("int"), (high / TILE).cast("int"))))
+    needed = wanted.groupBy("to_key", "to_id", "tile").agg(F.count("*").alias("n"))
+    by_row = needed.groupBy(F.col("to_key").alias("row_key"), F.col("to_id").alias("row_id")).agg(F.collect_list(F.struct("tile", "n")).alias("asked"))
+    # equal rows give equal tiles
+    tiles = written(_tiles(docs.join(by_row, ["row_key", "row_id"])).where(F.octet_length("words") > 0).dropDuplicates(["to_key", "to_id", "tile"]), "tiles")
+    held = met(wanted, tiles, ["to_key", "to_id", "tile"], _counted(tiles))
+    shared = held.groupBy("row_key", "row_id").agg(F.collect_list(F.struct("to_key", "to_id", "shift", "low", "high", "tile", "words")).alias("shared"))
+    shared = written(shared, "shared")
+    dropped(common, matches, tiles)
+    return shared
 
 
 def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``row_id``, ``place``, cluster and ``first`` of every repeated line and block, with
-    the words around the kept occurrence at the ends of each stretch of blocks.
-
-    ``docs`` is keyed (``row_id``, ``text``).  ``first`` marks the occurrence that stays,
-    the one with the smallest (row_id, place) of its cluster."""
-    docs = docs.select("row_id", "text")
-    some = docs.where(F.length("text") > 0)
-    units = _units(some)
-    crowded = units.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
-    equal = units.join(crowded, "node")
-    banded = _band_rows(some, bands, rows)
-    full = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    met = written(banded.join(full, "key"), "bands")
-    hits = met.select("key", "node").distinct()
-    hits = written(hits.join(hits.groupBy("key").agg(F.count("*").alias("n")), "key"), "buckets")
-    asked = met.groupBy("node").agg(F.min(F.struct("row_id", "place")).alias("at")).select("node", "at.*")
-    by_row = asked.groupBy("row_id").agg(F.collect_list(F.struct("node", "place")).alias("asked"))
-    sets = written(_line_sets(docs.join(by_row, "row_id")).dropDuplicates(["node"]), "sets")
-    labels = linked(hits, sets, least)
-    alike = met.select("node", "row_id", "place").distinct().join(labels, "node").select(F.col("component").alias("cluster"), "row_id", "place")
-    same = equal.join(labels.select("node").withColumn("labelled", F.lit(True)), "node", "left").where("labelled is null").select(F.col("node").alias("cluster"), "row_id", "place")
-    found = written(same.unionByName(alike), "repeats")
-    keep = found.groupBy("cluster").agg(F.min(F.struct("row_id", "place")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    rows = found.distinct().join(keep, "cluster").select("row_id", "place", "cluster", "kept", (F.struct("row_id", "place") == F.col("kept")).alias("first"))
-    return _with_contexts(docs, written(rows, "firsts"))
+    """Repeated lines (``places``) and passages (``shared`` with other texts, ``inner``
+    with themselves) of keyed ``docs``, by row."""
+    docs = docs.select(F.col("__row_key").alias("row_key"), F.col("__row_id").alias("row_id"), "text")
+    units = written(_units(docs.where(F.length("text") > 0), bands, rows), "units")
+    gone = repeated_lines(docs, units, least)
+    shared = repeated_passages(docs, units)
+    keys = ["row_key", "row_id"]
+    by_line = gone.distinct().groupBy(*keys).agg(F.collect_list("place").alias("places"))
+    inner = units.where("band = -2").select(*keys, F.col("key").alias("shift"), F.col("place").alias("low"), F.col("node").alias("high"))
+    by_shift = inner.distinct().groupBy(*keys).agg(F.collect_list(F.struct("shift", "low", "high")).alias("inner"))
+    held = written(shared.join(by_line, keys, "full").join(by_shift, keys, "full"), "repeats")
+    dropped(units, gone, shared)
+    return held.select(F.col("row_key").alias("__row_key"), F.col("row_id").alias("__row_id"), F.struct("places", "shared", "inner").alias("__repeats"))
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> int:
@@ -275,62 +300,60 @@ def near_stretch(own: np.ndarray, a: int, b: int, before: np.ndarray, after: np.
     ways = [(x, y) for x in left for y in right if x != left[0] or y != right[0]]
     for (i, p), (j, q) in sorted(ways, key=lambda w: -(w[0][0] + w[1][0])):
         there = [*before[len(before) - p :].tolist(), *own[a:b].tolist(), *after[:q].tolist()]
-        if b - a + i + j >= RUN_WORDS and _similar(own[a - i : b + j].tolist(), there):
+        if b - a + i + j >= LEAST_WORDS and _similar(own[a - i : b + j].tolist(), there):
             return a - i, b + j
     return None
 
 
-def spans_to_remove(text: bytes, repeats: list[dict]) -> list[tuple[int, int]]:
-    """Merged byte ranges of a text that go, from its repeated parts.
-
-    A stretch of blocks is taken to the true ends of what equals the kept occurrence, and
-    past edits as long as the whole stays similar to it."""
+def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int) -> list[tuple[int, int]]:
+    """Stretches of words that repeat ``other``, the words of an earlier place whose first
+    one lies at word ``base`` of this text.  Anchors start from ``low`` to ``high``.
+
+    Every stretch of equal words with an anchor's length is taken to its true ends, and
+    past edits where it stays similar."""
+    a, b = max(0, base), min(len(own), base + len(other))
+    if a >= b:
+        return []
+    same = np.concatenate([[False], own[a:b] == other[a - base : b - base], [False]])
+    edge = np.flatnonzero(same[1:] != same[:-1])
+    out: list[tuple[int, int]] = []
+    for p, q in zip((edge[::2] + a).tolist(), (edge[1::2] + a).tolist(), strict=True):
+        if q - p < SHINGLE or q <= low or p > high + SHINGLE:
+            continue
+        if q - p >= LEAST_WORDS:
+            out.append((p, q))
+        if out and out[-1][0] <= p and q <= out[-1][1] and q - p < out[-1][1] - out[-1][0]:
+            continue  # inside what an earlier stretch already reached past its edits
+        reached = near_stretch(own, p, q, other[max(0, p - base - REACH) : p - base], other[q - base : q - base + REACH])
+        if reached:
+            out.append(reached)
+    return out
+
+
+def _others(shared: list[dict]) -> list[tuple[int, int, int, np.ndarray, int]]:
+    """Matches with the words of their tiles put together: first and last anchor, shift,
+    words, and the word number of the first one there."""
+    tiles: dict[tuple, list[tuple[int, bytes]]] = {}
+    for s in shared:
+        tiles.setdefault((s["to_key"], s["to_id"], s["shift"], s["low"], s["high"]), []).append((s["tile"], s["words"]))
+    return [(low, high, shift, np.frombuffer(b"".join(w for _, w in sorted(held)), np.uint32), min(held)[0] * TILE) for (_, _, shift, low, high), held in sorted(tiles.items())]
+
+
+def spans_to_remove(text: bytes, places: list[int] | None, shared: list[dict] | None, inner: list[dict] | None) -> list[tuple[int, int]]:
+    """Merged byte ranges of a text that go, from its repeated lines and passages."""
     parts = Parts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    state = {r["place"]: r["first"] for r in repeats}
-    sides = {r["place"]: [None if r[s] is None else np.frombuffer(r[s], np.uint32) for s in ("before", "after")] for r in repeats}
     own = short_words(parts)
     spans: list[list[int]] = []
-    _, first, last = parts.lines()
-    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-        if state.get(2 * k + 1) is False:
-            begin = text.rfind(b"\n", 0, parts.starts[a]) + 1
-            end = text.find(b"\n", parts.stops[b - 1])
+    if places:
+        _, first, last = parts.lines()
+        for k in sorted(places):
+            begin = text.rfind(b"\n", 0, parts.starts[first[k]]) + 1
+            end = text.find(b"\n", parts.stops[last[k] - 1])
             spans.append([begin, len(text) if end < 0 else end + 1])
-    _, first, last = parts.blocks()
-    n = len(first)
-    known = [2 * k in state for k in range(n)]
-    small = (last - first < BLOCK_WORDS).tolist()
-    k = 0
-    while k < n:
-        stop = k
-        while stop < n and (known[stop] or small[stop]):
-            stop += 1
-        inner = [x for x in range(k, stop) if known[x]]
-        if inner and last[stop - 1] - first[k] >= RUN_WORDS:
-            goes = {x for x in inner if not state[2 * x]}
-            # small blocks were not looked up; those between two that go, go too
-            for x, y in zip(inner, inner[1:], strict=False):
-                if x in goes and y in goes:
-                    goes.update(range(x, y))
-            for x in sorted(goes):
-                a, b = int(first[x]), int(last[x])
-                before, after = sides.get(2 * x, (None, None))
-                if before is not None:
-                    a -= _alike(own[:a][::-1], before[::-1])
-                if after is not None:
-                    b += _alike(own[b:], after)
-                spans.append(_bytes_of(parts, a, b))
-        k = max(stop, k + 1)
-    begin = None
-    for x in range(n):
-        before, after = sides.get(2 * x, (None, None))
-        if before is not None:
-            begin = (int(first[x]), before)
-        if after is not None and begin is not None:
-            reached = near_stretch(own, begin[0], int(last[x]), begin[1], after)
-            if reached:
-                spans.append(_bytes_of(parts, *reached))
-            begin = None
+    for low, high, shift, other, begin in _others(shared or []):
+        spans += [_bytes_of(parts, a, b) for a, b in passages(own, low, high, other, begin + shift)]
+    for r in inner or []:
+        spans += [_bytes_of(parts, a, b) for a, b in passages(own, r["low"], r["high"], own, r["shift"])]
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -347,16 +370,15 @@ def _bytes_of(parts: Parts, a: int, b: int) -> list[int]:
 
 def _with_repeats(docs: DataFrame, **options) -> DataFrame:
     base = keyed(docs)
-    per_row = repeated(base, **options).groupBy("row_id").agg(F.collect_list(F.struct("place", "first", "before", "after")).alias("repeats"))
-    return base.join(per_row, "row_id", "left")
+    return base.join(repeated(base, **options), KEYS, "left")
 
 
 def _cut(texts: pa.Array, repeats: pa.Array) -> tuple[list[bytes], list[list[tuple[int, int]]], list[int]]:
     data, offsets = raw_strings(texts)
     raw, kept, spans, sizes = data.tobytes(), [], [], []
-    for k, found in enumerate(repeats.to_pylist()):
-        text = raw[offsets[k] : offsets[k + 1]]
-        gone = spans_to_remove(text, found) if found else []
+    for k, found in enumerate(repeats):
+        text, found = raw[offsets[k] : offsets[k + 1]], found.as_py()
+        gone = spans_to_remove(text, found["places"], found["shared"], found["inner"]) if found else []
         pieces, at = [], 0
         for a, b in gone:
             pieces.append(text[at:a])
@@ -371,8 +393,8 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     """One row per document: how much of it repeats earlier occurrences and is removed,
     and a hash of what stays.
 
-    Null is the empty text.  Rows with the same id and text are one text and agree.
-    Texts under LINE_WORDS and CUT_WINDOW words can only lose what equals other text."""
+    Null is the empty text.  Rows with the same id and text are one text and agree; where
+    they repeat no other row, they stay.  Texts under LEAST_WORDS words lose nothing."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def one(batches):
@@ -381,7 +403,7 @@ def digest(docs: DataFrame, **options) -> DataFrame:
             columns = [pa.array(sizes, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_repeats(docs.select("doc_id", "text"), **options).select("doc_id", "text", "repeats").mapInArrow(one, schema)
+    return _with_repeats(docs.select("doc_id", "text"), **options).select("doc_id", "text", "__repeats").mapInArrow(one, schema)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -391,7 +413,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     everything becomes empty."""
     names = docs.columns
     held = docs.withColumn("__null", F.col("text").isNull())
-    frame = _with_repeats(held, **options).select(*names, "__null", "repeats")
+    frame = _with_repeats(held, **options).select(*names, "__null", "__repeats")
     at = names.index("text")
 
     def one(batches):

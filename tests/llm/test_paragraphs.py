@@ -19,13 +19,16 @@ def test_parts_of_a_run_equal_parts_of_each_text():
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     together = p.Parts(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    for method in ("lines", "blocks"):
-        doc, first, last = getattr(together, method)()
-        for k, r in enumerate(raw):
-            alone = p.Parts(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
-            _, f, z = getattr(alone, method)()
-            base = together.word_at[k]
-            assert (first[doc == k] - base).tolist() == f.tolist() and (last[doc == k] - base).tolist() == z.tolist()
+    doc, first, last = together.lines()
+    gram, at = together.anchors()
+    for k, r in enumerate(raw):
+        alone = p.Parts(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
+        _, f, z = alone.lines()
+        base = together.word_at[k]
+        assert (first[doc == k] - base).tolist() == f.tolist() and (last[doc == k] - base).tolist() == z.tolist()
+        own = together.owner[at] == k
+        g, a = alone.anchors()
+        assert gram[own].tolist() == g.tolist() and (at[own] - base).tolist() == a.tolist()
 
 
 @pytest.fixture(scope="module")
@@ -113,3 +116,30 @@ def test_edges(spark):
     assert len(got) == 7 and {r.doc_id: r.n_bytes for r in got}[1] == 0
     assert p.digest(frame.limit(0)).count() == 0
     assert [r.text for r in p.deduplicated(frame).where("doc_id = 1").collect()] == [None]
+
+
+def test_extra_columns_ties_and_periodic_texts(spark):
+    passage = " ".join(prose(60))
+    names = "doc_id long, text string, row_id string, row_key int, repeats string, bands int, found string, band int, key string"
+    rows = [(1, passage, "r", 1, "x", 1, "f", 0, "k"), (1, passage, "r", 1, "x", 1, "f", 0, "k"), (2, "intro " + passage, None, None, None, None, None, None, None)]
+    rows += [(3, "The " * 3000, "", 0, "", 0, "", 0, ""), (4, " ".join(prose(40) * 50), "", 0, "", 0, "", 0, "")]
+    got = p.deduplicated(spark.createDataFrame(rows, names)).collect()
+    assert sorted((r.doc_id, len(r.text.split())) for r in got) == [(1, 60), (1, 60), (2, 1), (3, 1), (4, 40)]
+    assert [r.row_id for r in got if r.doc_id == 1] == ["r", "r"]
+
+
+def test_recall_of_edited_passages_against_brute_force(spark):
+    docs, truth = [], []
+    for k in range(150):
+        passage = prose(rng.randint(51, 80))
+        edited = passage[:]
+        for at in rng.sample(range(6, len(passage) - 6), 1 + (len(passage) > 70 and k % 2)):
+            edited[at] = "edit"
+        one, two = (p.Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (passage, edited))
+        truth.append((one & two).total() >= 0.8 * (one | two).total())
+        docs += [" ".join(prose(50) + x + prose(50)) for x in (passage, edited)]
+    got = {r.doc_id: r.n_removed for r in p.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    near = [k for k in range(150) if truth[k]]
+    found = [k for k in near if got[2 * k + 1] >= 0.9 * len(" ".join(docs[2 * k].split()[50:-50]))]
+    assert len(near) > 60 and len(found) >= 0.95 * len(near), (len(found), len(near))
+    assert all(got[2 * k] == 0 for k in range(150))
