@@ -11,15 +11,14 @@ a window of words is its smallest shingle hash; windows that overlap mostly shar
 so all windows of a text together need one row for each different minimum, its anchor.
 That is a band of one row for every one of the dozens of windows that a passage holds.
 Texts with one anchor meet at the first of them, where the words around are compared:
-what is equal, and what goes on past edits while its exact Jaccard similarity holds,
-is a repeat.  Inside a text a place meets the one before.  As everything points to an
+what is equal, and what goes on past edits while the Jaccard similarity of its shingles
+holds, is a repeat.  Inside a text a place meets the one before.  As everything points to an
 earlier place, one occurrence stays of every component of similar passages.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -196,8 +195,9 @@ def _tiles(joined: DataFrame) -> DataFrame:
     return joined.select("row_key", "row_id", "text", "asked").mapInArrow(one, "to_key long, to_id long, tile int, n long, words binary")
 
 
-def short_words(parts: Parts) -> np.ndarray:
-    return (parts.hashes >> np.uint64(32)).astype(np.uint32)
+def short_words(parts: Parts, low: int = 0, high: int | None = None) -> np.ndarray:
+    """32-bit hashes of words low to high."""
+    return (parts.hashes[low:high] >> np.uint64(32)).astype(np.uint32)
 
 
 def _counted(rows: DataFrame) -> int:
@@ -264,45 +264,52 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, row
     return held.select(F.col("row_key").alias("__row_key"), F.col("row_id").alias("__row_id"), F.struct("places", "shared", "inner").alias("__repeats"))
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> int:
-    """How many words from the start are the same."""
-    n = min(len(x), len(y))
-    other = np.flatnonzero(x[:n] != y[:n])
-    return int(other[0]) if len(other) else n
+def _steps(own: bytes, x: int, other: bytes, y: int, way: int) -> list[tuple[int, int, int]]:
+    """Ways to go on from word x here and word y there (``way`` 1: after them, -1: before)
+    past changed, added and missing words: words taken here, there, and equal shingles.
 
-
-def _steps(own: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
-    """Places in both up to which they are alike, past changed, added and missing words.
-
-    After each edit a shingle of words has to agree."""
-    i = j = _alike(own, other)
-    out = [(i, j)]
+    Words are four bytes each.  After an edit, a shingle of words has to agree."""
+    out, i, j, same, size = [(0, 0, 0)], 0, 0, 0, 4 * SHINGLE
+    n, m = (len(own) // 4 - x, len(other) // 4 - y) if way > 0 else (x, y)
     while True:
         for p, q in ((1, 1), (1, 0), (0, 1)):
-            n = _alike(own[i + p :], other[j + q :])
-            if n >= SHINGLE:
-                i, j = i + p + n, j + q + n
-                out.append((i, j))
+            if i + p + SHINGLE > n or j + q + SHINGLE > m:
+                continue
+            if way > 0:
+                a, b = 4 * (x + i + p), 4 * (y + j + q)
+                agree = own[a : a + size] == other[b : b + size]
+            else:
+                a, b = 4 * (x - i - p), 4 * (y - j - q)
+                agree = own[a - size : a] == other[b - size : b]
+            if agree:
+                k, most = SHINGLE, min(n - i - p, m - j - q)
+                while k < most and (own[a + 4 * k : a + 4 * k + 4] == other[b + 4 * k : b + 4 * k + 4] if way > 0 else own[a - 4 * k - 4 : a - 4 * k] == other[b - 4 * k - 4 : b - 4 * k]):
+                    k += 1
+                i, j, same = i + p + k, j + q + k, same + k - SHINGLE + 1
+                out.append((i, j, same))
                 break
         else:
             return out
 
 
-def _similar(x: list[int], y: list[int]) -> bool:
-    a, b = (Counter(tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))) for w in (x, y))
-    return (a & b).total() >= SIMILARITY * (a | b).total()
-
+def near_stretch(own: bytes, a: int, b: int, other: bytes, shift: int) -> tuple[int, int] | None:
+    """The longest stretch around words a to b, equal to those at ``shift`` words before
+    in ``other``, that goes on past an edit and is similar to what stands there.
 
-def near_stretch(own: np.ndarray, a: int, b: int, before: np.ndarray, after: np.ndarray) -> tuple[int, int] | None:
-    """The longest stretch around words a to b, equal in the kept occurrence, that goes on
-    past an edit and is similar to the words there."""
-    left, right = _steps(own[:a][::-1], before[::-1]), _steps(own[b:], after)
-    ways = [(x, y) for x in left for y in right if x != left[0] or y != right[0]]
-    for (i, p), (j, q) in sorted(ways, key=lambda w: -(w[0][0] + w[1][0])):
-        there = [*before[len(before) - p :].tolist(), *own[a:b].tolist(), *after[:q].tolist()]
-        if b - a + i + j >= LEAST_WORDS and _similar(own[a - i : b + j].tolist(), there):
-            return a - i, b + j
-    return None
+    Shingles are counted as common where both stretches are aligned, so their Jaccard
+    similarity is at least what is asked for.  At most REACH words are gone each way."""
+    low, high = max(0, a - REACH), b + REACH
+    there = max(0, a - shift - REACH)
+    left = _steps(own[4 * low : 4 * a], a - low, other[4 * there : 4 * (a - shift)], a - shift - there, -1)
+    right = _steps(own[4 * b : 4 * high], 0, other[4 * (b - shift) : 4 * (b - shift + REACH)], 0, 1)
+    best = None
+    for i, p, s in left:
+        for j, q, t in right:
+            n, common = b - a + i + j, b - a - SHINGLE + 1 + s + t
+            if n > b - a and n >= LEAST_WORDS and (best is None or n > best[1] - best[0]):
+                if common >= SIMILARITY * (n + (b - a + p + q) - 2 * (SHINGLE - 1) - common):
+                    best = (a - i, b + j)
+    return best
 
 
 def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int) -> list[tuple[int, int]]:
@@ -311,22 +318,20 @@ def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int)
 
     Every stretch of equal words with an anchor's length is taken to its true ends, and
     past edits where it stays similar."""
-    a, b = max(0, base), min(len(own), base + len(other))
+    a, b = max(0, base, low - 2 * REACH), min(len(own), base + len(other), high + SHINGLE + 2 * REACH)
     if a >= b:
         return []
     same = np.concatenate([[False], own[a:b] == other[a - base : b - base], [False]])
     edge = np.flatnonzero(same[1:] != same[:-1])
+    here, there = own[a:b].tobytes(), other[a - base : b - base].tobytes()
     out: list[tuple[int, int]] = []
-    for p, q in zip((edge[::2] + a).tolist(), (edge[1::2] + a).tolist(), strict=True):
-        if q - p < SHINGLE or q <= low or p > high + SHINGLE:
+    for p, q in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if q - p < SHINGLE or q + a <= low or p + a > high:
             continue
         if q - p >= LEAST_WORDS:
-            out.append((p, q))
-        if out and out[-1][0] <= p and q <= out[-1][1] and q - p < out[-1][1] - out[-1][0]:
-            continue  # inside what an earlier stretch already reached past its edits
-        reached = near_stretch(own, p, q, other[max(0, p - base - REACH) : p - base], other[q - base : q - base + REACH])
-        if reached:
-            out.append(reached)
+            out.append((p + a, q + a))
+        if reached := near_stretch(here, p, q, there, 0):
+            out.append((reached[0] + a, reached[1] + a))
     return out
 
 
@@ -339,21 +344,23 @@ def _others(shared: list[dict]) -> list[tuple[int, int, int, np.ndarray, int]]:
     return [(low, high, shift, np.frombuffer(b"".join(w for _, w in sorted(held)), np.uint32), min(held)[0] * TILE) for (_, _, shift, low, high), held in sorted(tiles.items())]
 
 
-def spans_to_remove(text: bytes, places: list[int] | None, shared: list[dict] | None, inner: list[dict] | None) -> list[tuple[int, int]]:
-    """Merged byte ranges of a text that go, from its repeated lines and passages."""
-    parts = Parts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    own = short_words(parts)
-    spans: list[list[int]] = []
-    if places:
-        _, first, last = parts.lines()
-        for k in sorted(places):
-            begin = text.rfind(b"\n", 0, parts.starts[first[k]]) + 1
-            end = text.find(b"\n", parts.stops[last[k] - 1])
-            spans.append([begin, len(text) if end < 0 else end + 1])
-    for low, high, shift, other, begin in _others(shared or []):
-        spans += [_bytes_of(parts, a, b) for a, b in passages(own, low, high, other, begin + shift)]
-    for r in inner or []:
-        spans += [_bytes_of(parts, a, b) for a, b in passages(own, r["low"], r["high"], own, r["shift"])]
+def spans_to_remove(text: bytes, parts: Parts, k: int, repeats: dict, lines: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """Merged byte ranges of text ``k`` of a run that go, from its repeated lines and
+    passages."""
+    low, high = parts.word_at[k], parts.word_at[k + 1]
+    starts, own = parts.starts[low:high] - parts.offsets[k], short_words(parts, low, high)
+    spans: list[tuple[int, int]] = []
+    for line in repeats["places"] or []:
+        at = np.searchsorted(lines[0], k) + line
+        begin = text.rfind(b"\n", 0, starts[lines[1][at] - low]) + 1
+        end = text.find(b"\n", parts.stops[lines[2][at] - 1] - parts.offsets[k])
+        spans.append((begin, len(text) if end < 0 else end + 1))
+    found: list[tuple[int, int]] = []
+    for first, last, shift, other, begin in _others(repeats["shared"] or []):
+        found += passages(own, first, last, other, begin + shift)
+    for r in repeats["inner"] or []:
+        found += passages(own, r["low"], r["high"], own, r["shift"])
+    spans += [(int(starts[a]), len(text) if b >= len(starts) else int(starts[b])) for a, b in found]
     out: list[list[int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -363,11 +370,6 @@ def spans_to_remove(text: bytes, places: list[int] | None, shared: list[dict] |
     return [(a, b) for a, b in out]
 
 
-def _bytes_of(parts: Parts, a: int, b: int) -> list[int]:
-    """From the start of word a to that of word b."""
-    return [int(parts.starts[a]), len(parts.data) if b >= len(parts.starts) else int(parts.starts[b])]
-
-
 def _with_repeats(docs: DataFrame, **options) -> DataFrame:
     base = keyed(docs)
     return base.join(repeated(base, **options), KEYS, "left")
@@ -375,17 +377,23 @@ def _with_repeats(docs: DataFrame, **options) -> DataFrame:
 
 def _cut(texts: pa.Array, repeats: pa.Array) -> tuple[list[bytes], list[list[tuple[int, int]]], list[int]]:
     data, offsets = raw_strings(texts)
-    raw, kept, spans, sizes = data.tobytes(), [], [], []
-    for k, found in enumerate(repeats):
-        text, found = raw[offsets[k] : offsets[k + 1]], found.as_py()
-        gone = spans_to_remove(text, found["places"], found["shared"], found["inner"]) if found else []
-        pieces, at = [], 0
-        for a, b in gone:
-            pieces.append(text[at:a])
-            at = b
-        kept.append(b"".join([*pieces, text[at:]]))
-        spans.append(gone)
-        sizes.append(len(text))
+    raw = data.tobytes()
+    kept = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+    spans: list[list[tuple[int, int]]] = [[] for _ in kept]
+    sizes = [len(t) for t in kept]
+    known = repeats.is_valid().to_numpy(zero_copy_only=False)
+    for i, j in runs(offsets):
+        if not known[i:j].any():
+            continue
+        parts = Parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        lines = parts.lines()
+        for k in np.flatnonzero(known[i:j]).tolist():
+            text, pieces, at = kept[i + k], [], 0
+            spans[i + k] = spans_to_remove(text, parts, k, repeats[i + k].as_py(), lines)
+            for a, b in spans[i + k]:
+                pieces.append(text[at:a])
+                at = b
+            kept[i + k] = b"".join([*pieces, text[at:]])
     return kept, spans, sizes
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,10 +122,10 @@ def test_edges(spark):
 def test_extra_columns_ties_and_periodic_texts(spark):
     passage = " ".join(prose(60))
     names = "doc_id long, text string, row_id string, row_key int, repeats string, bands int, found string, band int, key string"
-    rows = [(1, passage, "r", 1, "x", 1, "f", 0, "k"), (1, passage, "r", 1, "x", 1, "f", 0, "k"), (2, "intro " + passage, None, None, None, None, None, None, None)]
+    rows = [(1, passage, "r", 1, "x", 1, "f", 0, "k"), (1, passage, "r", 1, "x", 1, "f", 0, "k"), (2, "an intro line\n" + passage, None, None, None, None, None, None, None)]
     rows += [(3, "The " * 3000, "", 0, "", 0, "", 0, ""), (4, " ".join(prose(40) * 50), "", 0, "", 0, "", 0, "")]
     got = p.deduplicated(spark.createDataFrame(rows, names)).collect()
-    assert sorted((r.doc_id, len(r.text.split())) for r in got) == [(1, 60), (1, 60), (2, 1), (3, 1), (4, 40)]
+    assert sorted((r.doc_id, len(r.text.split())) for r in got) == [(1, 60), (1, 60), (2, 3), (3, 1), (4, 40)]
     assert [r.row_id for r in got if r.doc_id == 1] == ["r", "r"]
 
 
@@ -135,7 +136,7 @@ def test_recall_of_edited_passages_against_brute_force(spark):
         edited = passage[:]
         for at in rng.sample(range(6, len(passage) - 6), 1 + (len(passage) > 70 and k % 2)):
             edited[at] = "edit"
-        one, two = (p.Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (passage, edited))
+        one, two = (Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) for x in (passage, edited))
         truth.append((one & two).total() >= 0.8 * (one | two).total())
         docs += [" ".join(prose(50) + x + prose(50)) for x in (passage, edited)]
     got = {r.doc_id: r.n_removed for r in p.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
