@@ -21,10 +21,13 @@ def composite(parts: dict[str, float]) -> Column:
     return F.when(weight > 0, total / weight)
 
 
-def trimp(minutes: Column, mean_hr: Column, rest: float, most: float) -> Column:
-    """Training impulse of a session: minutes, by how far heart rate rose to its maximum."""
-    ratio = F.greatest(F.lit(0.0), (mean_hr - rest) / (most - rest))
-    return minutes * ratio * 0.64 * F.exp(1.92 * ratio)
+def trimp(minutes: Column, mean_hr: Column, rest: Column | float, most: Column | float) -> Column:
+    """Training impulse of a session: minutes, by how far heart rate rose to its maximum.
+
+    Null unless the maximum is above the resting rate."""
+    rest, most = (x if isinstance(x, Column) else F.lit(float(x)) for x in (rest, most))
+    ratio = F.greatest(F.lit(0.0), F.try_divide(mean_hr - rest, most - rest))
+    return F.when(most > rest, minutes * ratio * 0.64 * F.exp(1.92 * ratio))
 
 
 def max_hr_from_age(age: Column) -> Column:
@@ -53,8 +56,16 @@ def snapped(value: Column, eps: float = 4e-16) -> Column:
     return F.when(F.abs(value - F.round(value)) <= eps * F.abs(value), F.round(value)).otherwise(value)
 
 
+#: Dew points in Fahrenheit below which each word holds.
+DEW_BANDS = ((55, "dry"), (60, "comfortable"), (65, "sticky"), (70, "humid"), (75, "oppressive"))
+
+
 def dew_label(dew_f: Column) -> Column:
-    return F.when(dew_f < 55, "dry").when(dew_f < 60, "comfortable").when(dew_f < 65, "sticky").when(dew_f < 70, "humid").otherwise("oppressive")
+    """Comfort word of a dew point; null for null."""
+    out = F.when(dew_f.isNull(), F.lit(None).cast("string"))
+    for ceiling, word in DEW_BANDS:
+        out = out.when(dew_f < ceiling, word)
+    return out.otherwise("dangerous")
 
 
 def snake_case(name: Column) -> Column:

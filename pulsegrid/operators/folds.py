@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 ACCURACY, SMOOTH_S, CLIMB, LEAST_POINTS, SEAM = 10.0, 15, 3.0, 10, 2
 
 
-def hysteresis_band(scores: DataFrame, key: str, high: float = 67, low: float = 34, slack: float = 3) -> DataFrame:
-    """Band after each key's scores in date order; it changes only past an edge by the slack.
+def hysteresis_band(scores: DataFrame, key: str, high: float = 67, low: float = 34, slack: float = 3, days: int = 7) -> DataFrame:
+    """Band of each key's latest score, which changes only past an edge by the slack.
 
-    A fold over the scores of one key, which are as many as there are days."""
+    The band before it is the fold of the same rule over the ``days`` calendar days
+    before the latest one; what lies further back does not count."""
     plain = lambda s: F.when(s >= high, "high").when(s >= low, "mid").otherwise("low")
 
     def step(band: Column, s: Column) -> Column:
@@ -20,63 +21,66 @@ def hysteresis_band(scores: DataFrame, key: str, high: float = 67, low: float =
         down = F.when(band == "high", F.when(s < high - slack, plain(s))).when(band == "mid", F.when(s < low - slack, plain(s)))
         return F.when(band == "", plain(s)).otherwise(F.coalesce(up, down, band))
 
+    known = scores.where("score is not null")
+    latest = known.groupBy(key).agg(F.max("date").alias("latest"))
+    near = known.join(latest, key).where(F.col("date") >= F.date_sub("latest", days))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("date", "score"))), lambda x: x["score"])
-    return scores.where("score is not null").groupBy(key).agg(F.aggregate(ordered, F.lit(""), step).alias("band"), F.count("*").alias("n_days"))
+    return near.groupBy(key).agg(F.aggregate(ordered, F.lit(""), step).alias("band"), F.count("*").alias("n_days"))
 
 
-def elevation_gain(points: DataFrame, key: str, threshold: float = CLIMB) -> DataFrame:
+def elevation_gain(points: DataFrame, keys: list[str], threshold: float = CLIMB) -> DataFrame:
     """Metres climbed and descended: moves count once they reach the threshold.
 
-    ``points``: key, t (seconds), altitude_m, accuracy_m.  Points of bad accuracy go,
-    altitudes are medians of 15 seconds; a group is one route."""
+    ``points``: keys of a route, t (seconds), altitude_m, accuracy_m.  Points of bad
+    accuracy go, altitudes are medians of 15 seconds.  The reference height is the first
+    one until a move away from it reaches the threshold.  Routes of under LEAST_POINTS
+    points have no gain.  A route is folded as one array, so it should be one outing."""
     good = points.where(F.col("altitude_m").isNotNull() & (F.col("accuracy_m").isNull() | F.col("accuracy_m").between(0, ACCURACY)))
     ms = (F.col("t") * 1000).cast("long")
-    frame = Window.partitionBy(key).orderBy(ms).rangeBetween(-SMOOTH_S * 500, SMOOTH_S * 500)
+    frame = Window.partitionBy(*keys).orderBy(ms).rangeBetween(-SMOOTH_S * 500, SMOOTH_S * 500)
     smooth = good.withColumn("altitude", F.percentile("altitude_m", 0.5).over(frame))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("t", "altitude"))), lambda x: x["altitude"])
+    start = F.struct(F.col("line")[0].alias("at"), F.lit(0).alias("way"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("t")["altitude"].to_numpy()
-        up = down = 0.0
-        if len(values) >= LEAST_POINTS:
-            direction, extreme, low, high = 0, values[0], values[0], values[0]
-            for v in values[1:]:
-                if direction == 0:
-                    low, high = min(low, v), max(high, v)
-                    if v - low >= threshold:
-                        direction, up, extreme = 1, up + v - low, v
-                    elif high - v >= threshold:
-                        direction, down, extreme = -1, down + high - v, v
-                elif (v - extreme) * direction > 0:
-                    up, down, extreme = (up + v - extreme, down, v) if direction > 0 else (up, down + extreme - v, v)
-                elif abs(v - extreme) >= threshold:
-                    direction = -direction
-                    up, down, extreme = (up + v - extreme, down, v) if direction > 0 else (up, down + extreme - v, v)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(values)], "gain_m": [round(up, 4)], "loss_m": [round(down, 4)]})
-
-    kind = points.schema[key].dataType.simpleString()
-    return smooth.select(key, "t", "altitude").groupBy(key).applyInPandas(fold, f"`{key}` {kind}, n long, gain_m double, loss_m double")
-
-
-def segment_chains(events: DataFrame, key: str, tolerance: float = SEAM) -> DataFrame:
+    def step(s: Column, v: Column) -> Column:
+        move = v - s["at"]
+        climbs = F.when(s["way"] == 1, move > 0).otherwise(move >= threshold)
+        falls = F.when(s["way"] == -1, move < 0).otherwise(move <= -threshold)
+        way = F.when(climbs, 1).when(falls, -1).otherwise(s["way"])
+        return F.struct(
+            F.when(climbs | falls, v).otherwise(s["at"]).alias("at"), way.alias("way"), (s["up"] + F.when(climbs, move).otherwise(0.0)).alias("up"), (s["down"] - F.when(falls, move).otherwise(0.0)).alias("down")
+        )
+
+    routes = smooth.groupBy(*keys).agg(F.count("*").alias("n"), ordered.alias("line"))
+    folded = routes.select(*keys, "n", F.when(F.col("n") >= LEAST_POINTS, F.aggregate("line", start, step)).alias("s"))
+    return folded.select(*keys, "n", F.coalesce(F.round("s.up", 4), F.lit(0.0)).alias("gain_m"), F.coalesce(F.round("s.down", 4), F.lit(0.0)).alias("loss_m"))
+
+
+def segment_chains(events: DataFrame, keys: list[str], tolerance: float = SEAM) -> DataFrame:
     """Greedy chains of segments that do not overlap: each joins the chain whose end is
-    closest before its start, within the tolerance, or opens one.  A group is a session."""
+    nearest to its start, or opens one; a chain ends where its last segment to end does.
+
+    ``chain`` numbers the chains of a group from the one that covers most minutes (of
+    equals the one of more segments).  A group is a session, whose segments are few."""
+    names = [f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_s", "end_s", "id"])
         ends: list[float] = []
         chain = []
         for start, stop in zip(pdf["start_s"], pdf["end_s"], strict=True):
-            fit = [(end, k) for k, end in enumerate(ends) if end <= start + tolerance]
-            k = max(fit)[1] if fit else len(ends)
+            fit = [(abs(start - end), k) for k, end in enumerate(ends) if end <= start + tolerance]
+            k = min(fit)[1] if fit else len(ends)
             if fit:
-                ends[k] = stop
+                ends[k] = max(ends[k], stop)
             else:
                 ends.append(stop)
             chain.append(k)
-        return pdf.assign(chain=chain)[[key, "id", "start_s", "end_s", "chain"]]
+        minutes = ((pdf["end_s"] - pdf["start_s"]) / 60).groupby(np.array(chain)).agg(["sum", "size"])
+        best = sorted(minutes.index, key=lambda k: (-round(minutes["sum"][k], 2), -minutes["size"][k], k))
+        return pdf.assign(chain=[best.index(k) for k in chain])[[*keys, "id", "start_s", "end_s", "chain"]]
 
-    kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "id", "start_s", "end_s").groupBy(key).applyInPandas(fold, f"`{key}` {kind}, id long, start_s long, end_s long, chain long")
+    return events.select(*keys, "id", "start_s", "end_s").groupBy(*keys).applyInPandas(fold, ", ".join([*names, "id long, start_s long, end_s long, chain long"]))
 
 
 def cosinor(samples: DataFrame, key: str, period_s: float = 86400.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pulsegrid.operators import arbitration, buckets, folds, history, ledger, ma
 from pulsegrid.operators import training
 from pulsegrid.plans.daily import long_series, short_series
 from pulsegrid.plans.registry import query, views
-from pulsegrid.sources.adapters import DAILY_LONG, DAILY_SHORT, RECORDS, SERIES, SERIES_LONG, SESSIONS, records, sessions
+from pulsegrid.sources.adapters import DAILY_LONG, DAILY_SHORT, RECORDS, SERIES, SERIES_LONG, SESSIONS, records, sessions, table
 
 EVENTS = views(RECORDS, SESSIONS)
 CUTOFF = "2024-01-10"
@@ -370,27 +370,55 @@ def compliance_bands(spark, sf_dir):
     return sleep.compliance(_nights(spark, sf_dir), 510)
 
 
-# Folds, without a plain SQL form ---------------------------------------------
+# Folds ------------------------------------------------------------------------
 
 
-@query()
+@query(
+    views(RECORDS)
+    + """, a AS (SELECT metric, 2 * pi() / 86400 * (start_s % 86400) AS w, value AS y FROM records),
+u AS (SELECT metric, count(*)::DOUBLE AS n, sum(y) AS y, sum(cos(w)) AS c, sum(sin(w)) AS s, sum(cos(w) * cos(w)) AS cc, sum(sin(w) * sin(w)) AS ss, sum(cos(w) * sin(w)) AS cs, sum(cos(w) * y) AS cy, sum(sin(w) * y) AS sy FROM a GROUP BY 1),
+v AS (SELECT *, cc - c * c / n AS p, cs - c * s / n AS q, ss - s * s / n AS r, cy - c * y / n AS g, sy - s * y / n AS h FROM u WHERE n >= 8),
+b AS (SELECT *, (g * r - h * q) / (p * r - q * q) AS bc, (h * p - g * q) / (p * r - q * q) AS bs FROM v),
+k AS (SELECT *, atan2(bs, bc) * 24 / (2 * pi()) AS peak FROM b)
+SELECT metric, CAST(n AS BIGINT) AS n, round((y - bc * c - bs * s) / n, 5) AS mesor, round(sqrt(bc * bc + bs * bs), 5) AS amplitude, round(CASE WHEN peak < 0 THEN peak + 24 ELSE peak END, 4) AS peak_hour FROM k"""
+)
 def cosinor(spark, sf_dir):
     return folds.cosinor(records(spark, sf_dir), "metric")
 
 
 @query()
 def segment_chains(spark, sf_dir):
-    return folds.segment_chains(sessions(spark, sf_dir), "local_date")
+    """Without an SQL form: what a segment joins depends on all joins before."""
+    return folds.segment_chains(sessions(spark, sf_dir), ["source", "local_date"])
 
 
-@query()
+@query(
+    views(RECORDS, DAILY_SHORT, SERIES).replace("WITH", "WITH RECURSIVE", 1)
+    + """, m AS (SELECT metric, date, (value - min(value) OVER (PARTITION BY metric)) * 100 / (max(value) OVER (PARTITION BY metric) - min(value) OVER (PARTITION BY metric)) AS score, max(date) OVER (PARTITION BY metric) AS latest FROM series),
+k AS (SELECT metric, score, CASE WHEN score >= 67 THEN 'high' WHEN score >= 34 THEN 'mid' ELSE 'low' END AS plain, row_number() OVER (PARTITION BY metric ORDER BY date) AS i, count(*) OVER (PARTITION BY metric) AS n FROM m WHERE date >= latest - 7),
+f AS (SELECT metric, i, n, plain AS band FROM k WHERE i = 1 UNION ALL
+  SELECT k.metric, k.i, k.n, CASE WHEN band = 'low' AND score >= 37 OR band = 'mid' AND (score >= 70 OR score < 31) OR band = 'high' AND score < 64 THEN plain ELSE band END
+  FROM f JOIN k ON k.metric = f.metric AND k.i = f.i + 1)
+SELECT metric, band, n AS n_days FROM f WHERE i = n"""
+)
 def hysteresis_band(spark, sf_dir):
     scores = training.summary(short_series(spark, sf_dir)).select("metric", "min", "max").join(short_series(spark, sf_dir), "metric")
     return folds.hysteresis_band(scores.select("metric", "date", ((F.col("value") - F.col("min")) * 100 / (F.col("max") - F.col("min"))).alias("score")), "metric")
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT user_id, CAST(ts AS DATE) AS local_date, CAST(floor(epoch(ts)) AS BIGINT) % 86400 AS t, value % 40 AS a, event_id % 13 - 1 AS acc FROM events WHERE event_type = 'view'),
+g AS (SELECT * FROM p WHERE a IS NOT NULL AND acc BETWEEN 0 AND 10),
+s AS (SELECT user_id, local_date, t, quantile_cont(a, 0.5) OVER (PARTITION BY user_id ORDER BY t + 86400 * (local_date - DATE '2000-01-01') RANGE BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS v FROM g),
+k AS (SELECT user_id, v, row_number() OVER (PARTITION BY user_id ORDER BY local_date, t, v) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM s),
+f AS (SELECT user_id, i, n, v AS h, 0 AS way, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM k WHERE i = 1 UNION ALL
+  SELECT user_id, i, n, CASE WHEN c OR d THEN v ELSE h END, CASE WHEN c THEN 1 WHEN d THEN -1 ELSE way END, up + CASE WHEN c THEN v - h ELSE 0 END, down + CASE WHEN d THEN h - v ELSE 0 END
+  FROM (SELECT k.user_id, k.i, k.n, k.v, f.h, f.way, f.up, f.down, CASE WHEN f.way = 1 THEN k.v > f.h ELSE k.v - f.h >= 3 END AS c, CASE WHEN f.way = -1 THEN k.v < f.h ELSE k.v - f.h <= -3 END AS d FROM f JOIN k ON k.user_id = f.user_id AND k.i = f.i + 1))
+SELECT user_id, n, CASE WHEN n >= 10 THEN round(up, 4) ELSE 0 END AS gain_m, CASE WHEN n >= 10 THEN round(down, 4) ELSE 0 END AS loss_m FROM f WHERE i = n"""
+)
 def elevation_gain(spark, sf_dir):
-    rows = records(spark, sf_dir).where("metric = 'view'")
-    points = rows.select("local_date", (F.col("start_s") % 86400).cast("double").alias("t"), (F.col("value") % 40).alias("altitude_m"), (F.col("id") % 13 - 1).cast("double").alias("accuracy_m"))
-    return folds.elevation_gain(points, "local_date")
+    rows = table(spark, sf_dir, "events").where("event_type = 'view'")
+    second = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.floor(F.second("ts"))
+    day = F.datediff(F.to_date("ts"), F.lit("2000-01-01").cast("date"))
+    points = rows.select("user_id", (second + 86400 * day).cast("double").alias("t"), (F.col("value") % 40).alias("altitude_m"), (F.col("event_id") % 13 - 1).cast("double").alias("accuracy_m"))
+    return folds.elevation_gain(points, ["user_id"])

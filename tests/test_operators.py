@@ -72,20 +72,34 @@ def test_hysteresis_and_elevation(spark):
     assert {r.k: r.band for r in folds.hysteresis_band(frame, "k").collect()} == {"a": "mid", "b": "high", "c": "mid"}
     heights = [0.0] * 5 + [10.0] * 5 + [8.0] * 5 + [2.0] * 5
     points = spark.createDataFrame([("r", t * 100.0, h, None) for t, h in enumerate(heights)] + [("r", 5.0, 500.0, 99.0)], "k string, t double, altitude_m double, accuracy_m double")
-    row = folds.elevation_gain(points, "k").first()
+    row = folds.elevation_gain(points, ["k"]).first()
     assert (row.n, row.gain_m, row.loss_m) == (20, 10.0, 8.0)
+    # the first height is the reference until a move reaches the threshold
+    low = spark.createDataFrame([("r", t * 100.0, h, None) for t, h in enumerate([10.0, 8.0, 11.0] + [11.0] * 9)], "k string, t double, altitude_m double, accuracy_m double")
+    assert folds.elevation_gain(low, ["k"]).first().gain_m == 0.0
+
+
+def test_bands_fold_over_the_days_before_only(spark):
+    day = dt.date(2024, 1, 1)
+    frame = spark.createDataFrame([("a", day, 90.0), ("a", day + dt.timedelta(20), 66.0)], "k string, date date, score double")
+    assert folds.hysteresis_band(frame, "k").first().band == "mid"
 
 
 def test_segment_chains_take_the_closest_end(spark):
     rows = [("w", 1, 0, 100), ("w", 2, 0, 50), ("w", 3, 51, 90), ("w", 4, 102, 120)]
     frame = spark.createDataFrame(rows, "k string, id long, start_s long, end_s long")
-    assert {r.id: r.chain for r in folds.segment_chains(frame, "k").collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+    assert {r.id: r.chain for r in folds.segment_chains(frame, ["k"]).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+    # ends 99 and 102 lie within the tolerance of 100: the nearer one is joined
+    near = spark.createDataFrame([("w", 1, 0, 99), ("w", 2, 0, 102), ("w", 3, 100, 150)], "k string, id long, start_s long, end_s long")
+    got = {r.id: r.chain for r in folds.segment_chains(near, ["k"]).collect()}
+    assert got[3] == got[1] != got[2]
 
 
 def test_periods():
     end = dt.date(2024, 3, 1)
     assert windows.parse_period("30d", end)[0] == dt.date(2024, 2, 1)
     assert windows.parse_period("1m", end)[0] == dt.date(2024, 2, 1)
+    assert windows.parse_period("Lifetime", end, dt.date(2020, 1, 1)) == (dt.date(2020, 1, 1), end)
     assert windows.parse_range("2024-01-01:2024-01-02", end) == (dt.date(2024, 1, 1), dt.date(2024, 1, 2))
     for bad in ("", "0d", "3q", "2024-02-01:2024-01-01"):
         with pytest.raises(ValueError):
