@@ -17,6 +17,7 @@ import base64
 import hashlib
 import io
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 SPLIT_BYTES = 32 << 20
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 RECORD_ID, TARGET, PROFILE = "<urn:page:{}>", "WARC-Target-URI", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -107,7 +108,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = fs.FileSystem.from_uri(self.path)
         listed = {m.name: m.splits for m in messages if m is not None}
-        with store.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+        # a manifest for every write, so that appending keeps what was there
+        with store.open_output_stream(f"{folder}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(listed).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -231,11 +233,14 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         store, folder = fs.FileSystem.from_uri(self.path)
-        if store.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as f:
-                listed = json.loads(f.read())
-            return [Split(name, a, b) for name, cuts in sorted(listed.items()) for a, b in cuts]
         found = store.get_file_info(fs.FileSelector(folder))
+        listed: dict[str, list] = {}
+        for x in found:
+            if x.is_file and x.base_name.startswith(MANIFEST):
+                with store.open_input_stream(x.path, compression=None) as f:
+                    listed |= json.loads(f.read())
+        if listed:
+            return [Split(name, a, b) for name, cuts in sorted(listed.items()) for a, b in cuts]
         return [Split(x.base_name, 0, x.size) for x in found if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:

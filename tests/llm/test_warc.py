@@ -69,3 +69,11 @@ def test_gzip_members_and_skipping(spark, tmp_path):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.digest(pages, storage.new_path(spark, "warc")).count() == 0
+
+
+def test_a_second_append_keeps_the_first(spark, tmp_path):
+    where = f"file://{tmp_path}/twice"
+    for k in (1, 2):
+        pages = spark.createDataFrame([(k, "http://x/", f"<p>{k}</p>")], "page_id long, url string, html string")
+        warc.write(pages, where)
+    assert sorted(r.page_id for r in warc.read(spark, where).select("page_id").collect()) == [1, 2]
