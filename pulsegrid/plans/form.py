@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.stats import trimp
 from pulsegrid.operators import arbitration, form, ledger, matching
 from pulsegrid.operators.training import wear_hours
-from pulsegrid.plans.daily import WEAR, long_series, short_series
+from pulsegrid.plans.daily import WEAR, long_series, short_series, spaced
 from pulsegrid.plans.events import EVENTS, _bucket_sql, _flagged
 from pulsegrid.plans.registry import query, views
 from pulsegrid.sources.adapters import DAILY_LONG, DAILY_SHORT, RECORDS, SERIES, SERIES_LONG, records, sessions
@@ -99,22 +99,22 @@ def series_downsampled(spark, sf_dir):
 
 @query(
     views(RECORDS, DAILY_SHORT, SERIES, WEAR)
-    + "SELECT coalesce(s.date, w.date) AS date, coalesce(value, 0.0) AS value FROM (SELECT date, value FROM series WHERE metric = 'click' AND day(date) % 5 <> 0) s FULL JOIN (SELECT date FROM wear WHERE hours >= 12) w USING (date)"
+    + "SELECT coalesce(s.date, w.date) AS date, coalesce(value, 0.0) AS value FROM (SELECT DATE '2024-01-01' + CAST((date - DATE '2024-01-01') * 2 AS INTEGER) AS date, value FROM series WHERE metric = 'click') s FULL JOIN (SELECT date FROM wear WHERE hours >= 12) w USING (date)"
 )
 def zero_filled_load(spark, sf_dir):
     wear = wear_hours(records(spark, sf_dir)).where("local_date <> date'2024-01-20'")
-    days = short_series(spark, sf_dir).where((F.col("metric") == "click") & (F.dayofmonth("date") % 5 != 0)).select("date", "value")
+    days = short_series(spark, sf_dir).where(F.col("metric") == "click").select(spaced("date", 2).alias("date"), "value")
     return form.zero_filled(days, wear)
 
 
 @query(
     views(RECORDS, DAILY_SHORT, SERIES)
-    + """, s AS (SELECT metric, date, value FROM series WHERE day(date) % 4 = 1), b AS (SELECT metric, min(date) AS a, max(date) + 10 AS z FROM s GROUP BY 1),
+    + """, s AS (SELECT metric, DATE '2024-01-01' + CAST((date - DATE '2024-01-01') * 4 AS INTEGER) AS date, value FROM series), b AS (SELECT metric, min(date) AS a, max(date) + 10 AS z FROM s GROUP BY 1),
 g AS (SELECT metric, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM b)
 SELECT metric, date, last_value(value IGNORE NULLS) OVER (PARTITION BY metric ORDER BY date ROWS UNBOUNDED PRECEDING) AS value FROM g LEFT JOIN s USING (metric, date)"""
 )
 def carried_forward(spark, sf_dir):
-    return form.carried(short_series(spark, sf_dir).where(F.dayofmonth("date") % 4 == 1).select("metric", "date", "value"), 10)
+    return form.carried(short_series(spark, sf_dir).select("metric", spaced("date", 4).alias("date"), "value"), 10)
 
 
 @query("WITH l AS (SELECT user_id AS scope, event_id AS seq, CASE WHEN event_type = 'error' THEN 'withdraw' ELSE 'rule' END AS kind, event_type AS rule FROM events) SELECT scope, seq, rule FROM l WHERE kind = 'rule' AND seq > coalesce((SELECT max(seq) FROM l w WHERE w.scope = l.scope AND w.kind = 'withdraw'), -1)")

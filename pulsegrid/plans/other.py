@@ -93,13 +93,14 @@ def turn_pairs(spark, sf_dir):
     return ledger.turn_pairs(table(spark, sf_dir, "conversations"))
 
 
-@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) > 20 FROM orders WHERE o_orderkey < 12000) AS truncated FROM orders WHERE o_orderkey < 12000 ORDER BY o_orderkey DESC LIMIT 20")
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) > 21 FROM orders) AS truncated FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders) ORDER BY o_orderkey DESC LIMIT 20")
 def keyset_page(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return ledger.page_before(rows, F.col("o_orderkey") < 12000, [F.col("o_orderkey").desc()], 20)
+    cursor = rows.agg(F.max("o_orderkey")).first()[0]  # the page before the newest entry
+    return ledger.page_before(rows, F.col("o_orderkey") < cursor, [F.col("o_orderkey").desc()], 20)
 
 
-MEALS = """WITH foods AS (SELECT p_partkey AS item, p_retailprice AS kcal, CASE WHEN p_size % 10 <> 0 THEN CAST(p_size AS DOUBLE) END AS protein FROM part WHERE p_partkey % 97 <> 0)
+MEALS = """WITH foods AS (SELECT p_partkey + 3 AS item, p_retailprice AS kcal, CASE WHEN p_size % 10 <> 0 THEN CAST(p_size AS DOUBLE) END AS protein FROM part)
 SELECT l_orderkey AS meal, count(*) AS n_items, round(sum(l_quantity * kcal), 3) AS kcal,
   CASE WHEN max(CASE WHEN l_quantity > 0 AND protein IS NULL THEN 1 ELSE 0 END) = 0 THEN round(sum(l_quantity * protein), 3) END AS protein, CAST(sum(CASE WHEN kcal IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_unknown
 FROM lineitem LEFT JOIN foods ON item = l_partkey GROUP BY 1"""
@@ -107,7 +108,8 @@ FROM lineitem LEFT JOIN foods ON item = l_partkey GROUP BY 1"""
 
 @query(MEALS)
 def meal_totals(spark, sf_dir):
-    foods = table(spark, sf_dir, "part").where("p_partkey % 97 <> 0").select(F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("kcal"), F.when(F.col("p_size") % 10 != 0, F.col("p_size").cast("double")).alias("protein"))
+    # keys moved by three leave some items of the meals unknown
+    foods = table(spark, sf_dir, "part").select((F.col("p_partkey") + 3).alias("item"), F.col("p_retailprice").alias("kcal"), F.when(F.col("p_size") % 10 != 0, F.col("p_size").cast("double")).alias("protein"))
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("meal"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("servings"))
     return ledger.meal_totals(items, foods)
 
