@@ -48,13 +48,14 @@ def licence_gate(spark, sf_dir):
 @query(
     CHUNKS
     + """, cdf AS (SELECT term, count(*) AS control_df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS term FROM control) GROUP BY 1),
-lexicon AS (SELECT term FROM df LEFT JOIN cdf USING (term) WHERE df >= 3 AND df * (SELECT count(*) FROM control) >= 3 * coalesce(control_df, 0) * (SELECT count(*) FROM chunks)),
+lexicon AS (SELECT term FROM cdf LEFT JOIN df USING (term) WHERE control_df >= 3 AND control_df * (SELECT count(*) FROM chunks) >= 3 * coalesce(df, 0) * (SELECT count(*) FROM control)),
 asked AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations)
 SELECT DISTINCT conv_id, turn, (conv_id, turn) IN (SELECT (conv_id, turn) FROM asked SEMI JOIN lexicon USING (term)) AS in_domain FROM conversations"""
 )
 def question_gate(spark, sf_dir):
-    control = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body"))
-    lexicon = retrieval.lexicon(_chunks(spark, sf_dir), control)
+    # the benchmark's own words, against those of all documents: some questions lie outside
+    own = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body"))
+    lexicon = retrieval.lexicon(own, _chunks(spark, sf_dir))
     return evidence.in_domain(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], lexicon)
 
 
