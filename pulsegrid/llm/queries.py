@@ -73,11 +73,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import apportion
+
+    return apportion.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import divergence
+
+    return divergence.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm import resampling
+
+    return resampling.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from pulsegrid.llm import toolcalls
+    from pulsegrid.llm import apportion, divergence, toolcalls
 
-    return {"op1_toolcalls": toolcalls.ORACLE}
+    return {"op1_toolcalls": toolcalls.ORACLE, "op11_apportion": apportion.ORACLE, "op12_divergence": divergence.ORACLE}

@@ -118,25 +118,22 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and stops of the runs of bytes that are ``inside`` words.  A run never
+    crosses into the next document."""
+    before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    held = np.diff(offsets) > 0
+    before[offsets[:-1][held]] = False
+    after[offsets[1:][held] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of A-Z-lowered texts: byte starts, byte stops, 64-bit hashes and word
     offsets by document.  A word never crosses into the next document."""
     low = LOWER[data]
-    inside = WORD_BYTE[low]
-    before = np.empty(len(data), bool)
-    if len(data):
-        before[0] = False
-        before[1:] = inside[:-1]
-    edges = offsets[:-1][np.diff(offsets) > 0]
-    before[edges] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty(len(data), bool)
-    if len(data):
-        after[-1] = False
-        after[:-1] = inside[1:]
-    last = offsets[1:][np.diff(offsets) > 0] - 1
-    after[last] = False
-    stops = np.flatnonzero(inside & ~after) + 1
+    starts, stops = bounds(WORD_BYTE[low], offsets)
     hashes = Rolling.of_bytes(low).spans(starts, stops) if len(starts) else np.zeros(0, np.uint64)
     return starts, stops, hashes, np.searchsorted(starts, offsets, "left")
 
