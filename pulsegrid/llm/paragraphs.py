@@ -6,22 +6,25 @@ Two kinds of paragraph are looked at, both of ``LEAST_WORDS`` words or more.
 similarity asked for, colliding lines are joined through a central one, verified by
 exact Jaccard similarity of their word shingles, and clustered by components.
 
-*Passages* are stretches of words anywhere in a text.  The MinHash of the shingles of
-a window of words is its smallest shingle hash; windows that overlap mostly share it,
-so all windows of a text together need one row for each different minimum, its anchor.
-That is a band of one row for every one of the dozens of windows that a passage holds.
-Texts with one anchor meet at the first of them, where the words around are compared:
-what is equal, and what goes on past edits while the Jaccard similarity of its shingles
-holds, is a repeat.  Inside a text a place meets the one before.  As everything points to an
-earlier place, one occurrence stays of every component of similar passages.
+*Passages* are stretches of words anywhere in a text.  In every ``LEAST_WORDS`` words that
+follow each other start ``WINDOW`` grams of words; the one with the smallest hash is an
+anchor: a MinHash band of one row, the same wherever these words stand.  A place meets the
+first place of its anchor and the one before it, where the words around are compared: what
+is equal for ``LEAST_WORDS`` words goes, and what goes on past edits while the exact Jaccard
+similarity of the shingles holds.  An anchor is two thirds of ``LEAST_WORDS`` long, so that
+scattered pieces of a passage, too short to go themselves, hold only some of its anchors:
+by the others its copies meet.  Inside a text a place meets the one before.  As everything
+points to an earlier place, one occurrence stays of every component of similar passages.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.dartminhash import linked
@@ -35,8 +38,7 @@ SIMILARITY = 0.8
 #: Repeats of fewer words stay: headings, stock phrases, licence lines.
 LEAST_WORDS = 18
 BANDS, ROWS = 6, 2  # recall at a similarity of 0.8: 1 - (1 - 0.8**2)**6 = 0.998
-WINDOW = 14  # shingles of a window: LEAST_WORDS words
-REACH = 48  # words of the first occurrence that are known on each side of its anchors
+WINDOW = 7  # grams among which an anchor is chosen: 12 words each, for LEAST_WORDS
 TILE = 48  # words that are looked up together
 
 
@@ -63,18 +65,29 @@ class Parts:
         breaks = np.concatenate([[0], np.cumsum(self.data == 0x0A)])[self.starts]
         return self._ranges(np.concatenate([[True], breaks[1:] != breaks[:-1]])[: len(breaks)])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles that are smallest in some window inside one text, and
-        the words at which they start."""
-        reach = WINDOW + SHINGLE - 1
-        if len(self.starts) < reach:
+    def anchors(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the ``size``-word grams that are smallest in some window of starts
+        inside one text, and the words at which they start.
+
+        Of texts that hold fewer grams than a window the smallest of all is taken."""
+        if len(self.starts) < size:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        grams = self.rolling.grams(SHINGLE)
+        grams = self.rolling.grams(size)
+        own = self.owner[: len(grams)] == self.owner[size - 1 :]
         half = np.uint64(32)
         placed = (grams >> half << half) | np.arange(len(grams), dtype=np.uint64)
-        least = (sliding_min(placed, WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        inside = self.owner[: len(least)] == self.owner[reach - 1 : reach - 1 + len(least)]
-        at = np.unique(least[inside])
+        at = np.zeros(0, np.int64)
+        if len(grams) >= WINDOW:
+            least = (sliding_min(placed, WINDOW) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            last = np.arange(WINDOW - 1, len(grams))
+            at = least[own[last] & (self.owner[: len(least)] == self.owner[last])]
+        held = np.maximum(np.diff(self.word_at) - size + 1, 0)
+        few = np.flatnonzero((held > 0) & (held < WINDOW))
+        if len(few):
+            inside = ragged(self.first_word[few], held[few])
+            begin = np.cumsum(held[few]) - held[few]
+            at = np.concatenate([at, (np.minimum.reduceat(placed[inside], begin) & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+        at = np.unique(at)
         return grams[at], at
 
     def content(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -88,6 +101,11 @@ class Parts:
         return part, self.rolling.spans(start, np.minimum(start + SHINGLE, last[part]))
 
 
+def gram_of(least_words: int) -> int:
+    """Words of an anchor."""
+    return max(SHINGLE, least_words - WINDOW + 1)
+
+
 def within_texts(owner: np.ndarray, gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Which anchors are the first of their kind in a text, and for the others owner,
     shift to the one before, first and last word, an entry for each shift of a text."""
@@ -107,12 +125,12 @@ def within_texts(owner: np.ndarray, gram: np.ndarray, at: np.ndarray) -> tuple[n
     return first, (of[opens], shift[opens], place[opens], place[closes])
 
 
-def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def _units(docs: DataFrame, bands: int, rows: int, least_words: int) -> DataFrame:
     """Anchors (``band`` -1), repeats inside a text (-2) and line bands of every text,
     which is cut into words once.
 
-    ``place`` is a word's number for anchors, with ``node`` a second hash of the
-    shingle; for lines it is the line's number, with ``node`` the hash of its words; for
+    ``place`` is a word's number for anchors, with ``node`` the number of words of the
+    text; for lines it is the line's number, with ``node`` the hash of its words; for
     repeats it is the first word, with the shift as ``key`` and the last as ``node``."""
     schema = pa.schema([("band", pa.int32()), ("key", pa.int64()), ("node", pa.int64()), ("row_key", pa.int64()), ("row_id", pa.int64()), ("place", pa.int32())])
 
@@ -122,13 +140,13 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             data, offsets = raw_strings(batch.column(2))
             for i, j in runs(offsets):
                 parts = Parts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                gram, at = parts.anchors()
+                gram, at = parts.anchors(gram_of(least_words))
                 first, inner = within_texts(parts.owner[at], gram, at)
                 gram, at = gram[first], at[first]
-                second = Rolling(fold(parts.hashes, 71)).spans(at, at + SHINGLE) if len(at) else gram
+                size = np.diff(parts.word_at)[parts.owner[at]].astype(np.uint64)
                 doc, first_word, last = parts.lines()
                 number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                keep = last - first_word >= LEAST_WORDS
+                keep = last - first_word >= least_words
                 doc, first_word, last, number = doc[keep], first_word[keep], last[keep], number[keep]
                 part, shingle = parts.shingles(first_word, last)
                 begin = np.searchsorted(part, np.arange(len(doc)))
@@ -143,7 +161,7 @@ def _units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 start = parts.first_word
                 place = np.concatenate([at - start[parts.owner[at]], inner[2] - start[inner[0]], np.tile(number, bands)])
                 band = np.concatenate([np.full(len(at), -1), np.full(len(inner[0]), -2), np.repeat(np.arange(bands), len(doc))])
-                node = np.concatenate([second, (inner[3] - start[inner[0]]).astype(np.uint64), np.tile(parts.content(first_word, last), bands)])
+                node = np.concatenate([size, (inner[3] - start[inner[0]]).astype(np.uint64), np.tile(parts.content(first_word, last), bands)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(band.astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(node.view(np.int64)), pa.array(row_key[of]), pa.array(row_id[of]), pa.array(place.astype(np.int32))], schema=schema
                 )
@@ -225,17 +243,117 @@ def repeated_lines(docs: DataFrame, units: DataFrame, least: float) -> DataFrame
     return gone
 
 
-def repeated_passages(docs: DataFrame, units: DataFrame) -> DataFrame:
+def _met_places(batches):
+    """Places of anchors in order of anchor and text, with an earlier place of the anchor
+    each (``kind`` 0): its first one, and the one before it.
+
+    Only what a partition's first anchor has in earlier partitions isn't known: its places
+    have no first one (``kind`` 1, and the very first none before).  The first place of a
+    partition (2) and its last one, with the first of the same anchor (3), tell it later."""
+    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(c, pa.int64()) for c in PLACE], *[("to_" + c, pa.int64()) for c in PLACE]])
+    part, before, first, open_ = TaskContext.get().partitionId(), None, None, True
+
+    def rows(kind, own, other, known=None):
+        columns = [pa.array(np.full(len(own), kind, np.int32)), pa.array(np.full(len(own), part, np.int32)), *[pa.array(own[:, k]) for k in range(5)], *[pa.array(other[:, k], mask=None if known is None else ~known) for k in range(5)]]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    for batch in batches:
+        own = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
+        if not len(own):
+            continue
+        head = before is None
+        own = own if head else np.concatenate([before[None], own])
+        # the same anchor of the same text: a repeated row
+        own = own[np.append(True, (own[1:, :3] != own[:-1, :3]).any(axis=1))]
+        fresh = np.append(False, own[1:, 0] != own[:-1, 0])
+        run = np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))
+        first = own[0] if head else first
+        firsts = np.where((run > 0)[:, None], own[run], first[None])
+        still = (run == 0) & open_
+        if head:
+            yield rows(2, own[:1], own[:1])
+        later = ~fresh
+        later[0] = head
+        known = np.ones(len(own), bool)
+        known[0] = not head
+        previous = np.concatenate([own[:1], own[:-1]])
+        settled = later & ~still
+        yield rows(0, own[settled], firsts[settled])
+        other = settled & (previous != firsts).any(axis=1)
+        yield rows(0, own[other], previous[other])
+        yield rows(1, own[later & still], previous[later & still], known[later & still])
+        before, first, open_ = own[-1], firsts[-1], bool(still[-1])
+    if before is not None:
+        yield rows(3, before[None], first[None], np.array([not open_]))
+
+
+PLACE = ["key", "row_key", "row_id", "place", "n_words"]
+
+
+def _carried(ends: list) -> list[tuple]:
+    """What the first anchor of each partition has before: partition, first place, last one."""
+    out, carry = [], None
+    heads = {r.part: r for r in ends if r.kind == 2}
+    for tail in sorted((r for r in ends if r.kind == 3), key=lambda r: r.part):
+        head = heads[tail.part]
+        own = (head.row_key, head.row_id, head.place)
+        goes_on = carry is not None and carry[0] == head.key
+        first, last = carry[1:] if goes_on else (own, None)
+        out.append((tail.part, *first, *(last or (None,) * 3)))
+        carry = (tail.key, (tail.to_row_key, tail.to_row_id, tail.to_place) if tail.to_key is not None else first, (tail.row_key, tail.row_id, tail.place))
+    return out
+
+
+def met_places(anchors: DataFrame) -> DataFrame:
+    """Pairs of a place and an earlier place of its anchor: its first one, and the one before.
+
+    Anchors are dealt to ranges and read in order, so that an anchor of any number of places
+    spreads over as many ranges as it fills; one row a range tells what it goes on from."""
+    order = PLACE[:3]
+    kinds = "kind int, part int, " + ", ".join(f"{c} long" for c in [*PLACE, *["to_" + c for c in PLACE]])
+    held = written(anchors.select(*PLACE).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_met_places, kinds), "places")
+    here = ["row_key", "row_id", "place", "n_words"]
+    there = [F.col(c).alias(n) for c, n in (("to_row_key", "to_key"), ("to_row_id", "to_id"), ("to_place", "to_place"))]
+    names = ["first_key", "first_id", "first_place", "last_key", "last_id", "last_place"]
+    carried = anchors.sparkSession.createDataFrame(_carried(held.where("kind > 1").collect()), "part int, " + ", ".join(f"{c} long" for c in names))
+    open_ = held.where("kind = 1").join(F.broadcast(carried), "part")  # a row a partition
+    # the first place of a partition may have one before it in another
+    to_first = open_.select(*here, F.col("first_key").alias("to_key"), F.col("first_id").alias("to_id"), F.col("first_place").alias("to_place"))
+    to_last = open_.select(*here, F.coalesce("to_row_key", "last_key").alias("to_key"), F.coalesce("to_row_id", "last_id").alias("to_id"), F.coalesce("to_place", "last_place").alias("to_place")).where("to_key is not null")
+    pairs = held.where("kind = 0").select(*here, *there).unionByName(to_first.unionByName(to_last).distinct())
+    pairs = pairs.where("row_key <> to_key or row_id <> to_id")
+    pairs.stored_at = held.stored_at
+    return pairs
+
+
+def reach_of(n, least_words: int = LEAST_WORDS, least: float = SIMILARITY):
+    """Words that may belong to a similar passage before or after ``n`` anchored words, a
+    number or a column's name.
+
+    A passage of N words bears N / 45 edits at a similarity of 0.8, as each costs five
+    shingles of it, and without an anchor fewer than 18 words stand between edits.  So x
+    words past the anchored ones hold x / 18 edits, which makes x at most 18 n / 27."""
+    between = max(2 * SHINGLE, least_words)
+    words_an_edit = round(SHINGLE * (1 + least) / (1 - least)) if least < 1 else 1 << 30
+    share = max(1, words_an_edit - between)
+    return between * (max(1, n // share) if isinstance(n, int) else F.expr(f"greatest(1, ({n}) div {share})"))
+
+
+def repeated_passages(docs: DataFrame, units: DataFrame, least_words: int, least: float) -> DataFrame:
     """What each text shares with earlier texts, by row: ``shared`` holds the row and the
     offset of an earlier place, the first and last anchor word, and the words there."""
-    anchors = units.where("band = -1").select("key", "node", "row_key", "row_id", "place")
-    here = F.struct("row_key", "row_id", "place")
-    common = written(anchors.groupBy("key", "node").agg(F.count("*").alias("n"), F.min(here).alias("kept")).where("n > 1"), "anchors")
-    later = met(anchors, common, ["key", "node"], _counted(common)).where(here != F.col("kept"))
-    shift = (F.col("place") - F.col("kept.place")).alias("shift")
-    matches = later.groupBy("row_key", "row_id", F.col("kept.row_key").alias("to_key"), F.col("kept.row_id").alias("to_id"), shift).agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    matches = written(matches, "matches")
-    low, high = F.greatest(F.lit(0), F.col("low") - F.col("shift") - REACH), F.col("high") - F.col("shift") + SHINGLE + REACH
+    gram = gram_of(least_words)
+    pairs = met_places(units.where("band = -1").select("key", "row_key", "row_id", "place", F.col("node").alias("n_words")))
+    shift = (F.col("place") - F.col("to_place")).cast("int").alias("shift")
+    matches = pairs.groupBy("row_key", "row_id", "to_key", "to_id", shift).agg(F.min("place").cast("int").alias("low"), F.max("place").cast("int").alias("high"), F.max("n_words").cast("int").alias("n_words"))
+    reach = reach_of(f"high - low + {gram}", least_words, least)
+    # of what is left of the text on each side, and no more than is similar to it
+    before = F.least(reach, F.expr("low + low div 4 + 5"))
+    after = F.least(reach, F.expr(f"(n_words - high - {gram}) * 5 div 4 + 5"))
+    matches = written(matches.withColumns({"before": before.cast("int"), "after": after.cast("int")}), "matches")
+    dropped(pairs)
+    low = F.greatest(F.lit(0), F.col("low") - F.col("shift") - F.col("before"))
+    high = F.col("high") - F.col("shift") + gram + F.col("after")
     wanted = matches.withColumn("tile", F.explode(F.sequence((low / TILE).cast("int"), (high / TILE).cast("int"))))
     needed = wanted.groupBy("to_key", "to_id", "tile").agg(F.count("*").alias("n"))
     by_row = needed.groupBy(F.col("to_key").alias("row_key"), F.col("to_id").alias("row_id")).agg(F.collect_list(F.struct("tile", "n")).alias("asked"))
@@ -244,17 +362,17 @@ def repeated_passages(docs: DataFrame, units: DataFrame) -> DataFrame:
     held = met(wanted, tiles, ["to_key", "to_id", "tile"], _counted(tiles))
     shared = held.groupBy("row_key", "row_id").agg(F.collect_list(F.struct("to_key", "to_id", "shift", "low", "high", "tile", "words")).alias("shared"))
     shared = written(shared, "shared")
-    dropped(common, matches, tiles)
+    dropped(matches, tiles)
     return shared
 
 
-def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, least_words: int = LEAST_WORDS) -> DataFrame:
     """Repeated lines (``places``) and passages (``shared`` with other texts, ``inner``
     with themselves) of keyed ``docs``, by row."""
     docs = docs.select(F.col("__row_key").alias("row_key"), F.col("__row_id").alias("row_id"), "text")
-    units = written(_units(docs.where(F.length("text") > 0), bands, rows), "units")
+    units = written(_units(docs.where(F.length("text") > 0), bands, rows, least_words), "units")
     gone = repeated_lines(docs, units, least)
-    shared = repeated_passages(docs, units)
+    shared = repeated_passages(docs, units, least_words, least)
     keys = ["row_key", "row_id"]
     by_line = gone.distinct().groupBy(*keys).agg(F.collect_list("place").alias("places"))
     inner = units.where("band = -2").select(*keys, F.col("key").alias("shift"), F.col("place").alias("low"), F.col("node").alias("high"))
@@ -264,74 +382,75 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, row
     return held.select(F.col("row_key").alias("__row_key"), F.col("row_id").alias("__row_id"), F.struct("places", "shared", "inner").alias("__repeats"))
 
 
-def _steps(own: bytes, x: int, other: bytes, y: int, way: int) -> list[tuple[int, int, int]]:
-    """Ways to go on from word x here and word y there (``way`` 1: after them, -1: before)
-    past changed, added and missing words: words taken here, there, and equal shingles.
+def _steps(own: list[int], other: list[int]) -> list[tuple[int, int]]:
+    """Ways to go on past edits, from the first words on: how many words are taken here
+    and there, ends of equal words only.
 
-    Words are four bytes each.  After an edit, a shingle of words has to agree."""
-    out, i, j, same, size = [(0, 0, 0)], 0, 0, 0, 4 * SHINGLE
-    n, m = (len(own) // 4 - x, len(other) // 4 - y) if way > 0 else (x, y)
+    Each way leads to the nearest shingle that both sides have; edits may change, add or
+    drop any number of words."""
+    out, i, j = [(0, 0)], 0, 0
+    where: dict[tuple, list[int]] = {}
+    for y in range(len(other) - SHINGLE + 1):
+        where.setdefault(tuple(other[y : y + SHINGLE]), []).append(y)
     while True:
-        for p, q in ((1, 1), (1, 0), (0, 1)):
-            if i + p + SHINGLE > n or j + q + SHINGLE > m:
-                continue
-            if way > 0:
-                a, b = 4 * (x + i + p), 4 * (y + j + q)
-                agree = own[a : a + size] == other[b : b + size]
-            else:
-                a, b = 4 * (x - i - p), 4 * (y - j - q)
-                agree = own[a - size : a] == other[b - size : b]
-            if agree:
-                k, most = SHINGLE, min(n - i - p, m - j - q)
-                while k < most and (own[a + 4 * k : a + 4 * k + 4] == other[b + 4 * k : b + 4 * k + 4] if way > 0 else own[a - 4 * k - 4 : a - 4 * k] == other[b - 4 * k - 4 : b - 4 * k]):
-                    k += 1
-                i, j, same = i + p + k, j + q + k, same + k - SHINGLE + 1
-                out.append((i, j, same))
+        best = None
+        for p in range(i, len(own) - SHINGLE + 1):
+            if best and p - i >= best[0]:
                 break
-        else:
+            held = where.get(tuple(own[p : p + SHINGLE]), ())
+            at = bisect.bisect_left(held, j)
+            if at < len(held) and (best is None or p - i + held[at] - j < best[0]):
+                best = (p - i + held[at] - j, p, held[at])
+        if best is None:
             return out
+        _, p, q = best
+        k, most = SHINGLE, min(len(own) - p, len(other) - q)
+        while k < most and own[p + k] == other[q + k]:
+            k += 1
+        i, j = p + k, q + k
+        out.append((i, j))
+
+
+def alike(own: list[int], other: list[int], least: float) -> bool:
+    """Whether the Jaccard similarity of the sets of shingles reaches ``least``."""
+    a, b = ({tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)} for w in (own, other))
+    return len(a & b) >= least * len(a | b)
 
 
-def near_stretch(own: bytes, a: int, b: int, other: bytes, shift: int) -> tuple[int, int] | None:
+def near_stretch(own: np.ndarray, a: int, b: int, other: np.ndarray, shift: int, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> tuple[int, int] | None:
     """The longest stretch around words a to b, equal to those at ``shift`` words before
-    in ``other``, that goes on past an edit and is similar to what stands there.
-
-    Shingles are counted as common where both stretches are aligned, so their Jaccard
-    similarity is at least what is asked for.  At most REACH words are gone each way."""
-    low, high = max(0, a - REACH), b + REACH
-    there = max(0, a - shift - REACH)
-    left = _steps(own[4 * low : 4 * a], a - low, other[4 * there : 4 * (a - shift)], a - shift - there, -1)
-    right = _steps(own[4 * b : 4 * high], 0, other[4 * (b - shift) : 4 * (b - shift + REACH)], 0, 1)
-    best = None
-    for i, p, s in left:
-        for j, q, t in right:
-            n, common = b - a + i + j, b - a - SHINGLE + 1 + s + t
-            if n > b - a and n >= LEAST_WORDS and (best is None or n > best[1] - best[0]):
-                if common >= SIMILARITY * (n + (b - a + p + q) - 2 * (SHINGLE - 1) - common):
-                    best = (a - i, b + j)
-    return best
-
-
-def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int) -> list[tuple[int, int]]:
+    in ``other``, that goes on past an edit and is similar to what stands there."""
+    reach = reach_of(b - a, least_words, least)
+    x, y = a - shift, b - shift
+    left = _steps(own[max(0, a - reach) : a][::-1].tolist(), other[max(0, x - reach) : x][::-1].tolist())
+    right = _steps(own[b : b + reach].tolist(), other[y : y + reach].tolist())
+    ways = sorted(((i + j, i, p, j, q) for i, p in left for j, q in right), reverse=True)
+    for more, i, p, j, q in ways:
+        if more and alike(own[a - i : b + j].tolist(), other[x - p : y + q].tolist(), least):
+            return a - i, b + j
+    return None
+
+
+def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Stretches of words that repeat ``other``, the words of an earlier place whose first
     one lies at word ``base`` of this text.  Anchors start from ``low`` to ``high``.
 
     Every stretch of equal words with an anchor's length is taken to its true ends, and
     past edits where it stays similar."""
-    a, b = max(0, base, low - 2 * REACH), min(len(own), base + len(other), high + SHINGLE + 2 * REACH)
+    gram = gram_of(least_words)
+    reach = max(least_words, reach_of(high - low + gram, least_words, least))
+    a, b = max(0, base, low - reach), min(len(own), base + len(other), high + gram + reach)
     if a >= b:
         return []
     same = np.concatenate([[False], own[a:b] == other[a - base : b - base], [False]])
     edge = np.flatnonzero(same[1:] != same[:-1])
-    here, there = own[a:b].tobytes(), other[a - base : b - base].tobytes()
     out: list[tuple[int, int]] = []
-    for p, q in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if q - p < SHINGLE or q + a <= low or p + a > high:
+    for p, q in zip((edge[::2] + a).tolist(), (edge[1::2] + a).tolist(), strict=True):
+        if q - p < least_words or q <= low or p > high:
             continue
-        if q - p >= LEAST_WORDS:
-            out.append((p + a, q + a))
-        if reached := near_stretch(here, p, q, there, 0):
-            out.append((reached[0] + a, reached[1] + a))
+        out.append((p, q))
+        if reached := near_stretch(own, p, q, other, base, least_words, least):
+            out.append(reached)
     return out
 
 
@@ -344,7 +463,7 @@ def _others(shared: list[dict]) -> list[tuple[int, int, int, np.ndarray, int]]:
     return [(low, high, shift, np.frombuffer(b"".join(w for _, w in sorted(held)), np.uint32), min(held)[0] * TILE) for (_, _, shift, low, high), held in sorted(tiles.items())]
 
 
-def spans_to_remove(text: bytes, parts: Parts, k: int, repeats: dict, lines: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+def spans_to_remove(text: bytes, parts: Parts, k: int, repeats: dict, lines: tuple[np.ndarray, np.ndarray, np.ndarray], least: float = SIMILARITY, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
     """Merged byte ranges of text ``k`` of a run that go, from its repeated lines and
     passages."""
     low, high = parts.word_at[k], parts.word_at[k + 1]
@@ -357,9 +476,9 @@ def spans_to_remove(text: bytes, parts: Parts, k: int, repeats: dict, lines: tup
         spans.append((begin, len(text) if end < 0 else end + 1))
     found: list[tuple[int, int]] = []
     for first, last, shift, other, begin in _others(repeats["shared"] or []):
-        found += passages(own, first, last, other, begin + shift)
+        found += passages(own, first, last, other, begin + shift, least_words, least)
     for r in repeats["inner"] or []:
-        found += passages(own, r["low"], r["high"], own, r["shift"])
+        found += passages(own, r["low"], r["high"], own, r["shift"], least_words, least)
     spans += [(int(starts[a]), len(text) if b >= len(starts) else int(starts[b])) for a, b in found]
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -375,7 +494,7 @@ def _with_repeats(docs: DataFrame, **options) -> DataFrame:
     return base.join(repeated(base, **options), KEYS, "left")
 
 
-def _cut(texts: pa.Array, repeats: pa.Array) -> tuple[list[bytes], list[list[tuple[int, int]]], list[int]]:
+def _cut(texts: pa.Array, repeats: pa.Array, least: float = SIMILARITY, least_words: int = LEAST_WORDS, **_) -> tuple[list[bytes], list[list[tuple[int, int]]], list[int]]:
     data, offsets = raw_strings(texts)
     raw = data.tobytes()
     kept = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -389,7 +508,7 @@ def _cut(texts: pa.Array, repeats: pa.Array) -> tuple[list[bytes], list[list[tup
         lines = parts.lines()
         for k in np.flatnonzero(known[i:j]).tolist():
             text, pieces, at = kept[i + k], [], 0
-            spans[i + k] = spans_to_remove(text, parts, k, repeats[i + k].as_py(), lines)
+            spans[i + k] = spans_to_remove(text, parts, k, repeats[i + k].as_py(), lines, least, least_words)
             for a, b in spans[i + k]:
                 pieces.append(text[at:a])
                 at = b
@@ -407,7 +526,7 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
     def one(batches):
         for batch in batches:
-            kept, spans, sizes = _cut(batch.column(1), batch.column(2))
+            kept, spans, sizes = _cut(batch.column(1), batch.column(2), **options)
             columns = [pa.array(sizes, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -426,7 +545,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
     def one(batches):
         for batch in batches:
-            kept, _, _ = _cut(batch.column(at), batch.column(len(names) + 1))
+            kept, _, _ = _cut(batch.column(at), batch.column(len(names) + 1), **options)
             void = batch.column(len(names)).to_pylist()
             text = pa.array([None if v else t.decode() for t, v in zip(kept, void, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([text if k == at else batch.column(k) for k in range(len(names))], names=names)

@@ -21,14 +21,14 @@ def test_parts_of_a_run_equal_parts_of_each_text():
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     together = p.Parts(np.frombuffer(b"".join(raw), np.uint8), offsets)
     doc, first, last = together.lines()
-    gram, at = together.anchors()
+    gram, at = together.anchors(12)
     for k, r in enumerate(raw):
         alone = p.Parts(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
         _, f, z = alone.lines()
         base = together.word_at[k]
         assert (first[doc == k] - base).tolist() == f.tolist() and (last[doc == k] - base).tolist() == z.tolist()
         own = together.owner[at] == k
-        g, a = alone.anchors()
+        g, a = alone.anchors(12)
         assert gram[own].tolist() == g.tolist() and (at[own] - base).tolist() == a.tolist()
 
 
@@ -144,3 +144,76 @@ def test_recall_of_edited_passages_against_brute_force(spark):
     found = [k for k in near if got[2 * k + 1] >= 0.9 * len(" ".join(docs[2 * k].split()[50:-50]))]
     assert len(near) > 60 and len(found) >= 0.95 * len(near), (len(found), len(near))
     assert all(got[2 * k] == 0 for k in range(150))
+
+
+def test_pieces_of_a_passage_in_earlier_texts_do_not_hide_its_copies(spark):
+    """Two texts hold 17-word pieces of a passage between other words; two exact copies follow."""
+    docs = []
+    for k in range(40):
+        passage = prose(60)
+        pieces = [passage[i : i + 17] for i in range(0, 60, 17)]
+        between = [f"between{k}"] * 6  # never by chance a word of the passage
+        docs += [" ".join(sum((between + x for x in some), [])) for some in (pieces[::2], pieces[1::2])]
+        docs += [" ".join(prose(30) + passage + prose(30)) for _ in range(2)]
+    got = {r.doc_id: r.n_removed for r in p.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert sum(got[k + 3] >= len(" ".join(docs[k + 3].split()[30:-30])) for k in range(0, 160, 4)) == 40
+    assert sum(bool(got[k + i]) for k in range(0, 160, 4) for i in range(3)) == 0
+
+
+def test_longer_pieces_in_earlier_texts_do_not_hide_copies_either(spark):
+    docs = []
+    for _ in range(20):
+        passage = prose(100)
+        docs += [" ".join(prose(9) + passage[a : a + 40] + prose(9)) for a in (0, 30, 60)]
+        docs += [" ".join(prose(30) + passage + prose(30)) for _ in range(2)]
+    new = {r.doc_id: r.text.split() for r in p.deduplicated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    # both copies are made of the pieces
+    assert all(len(new[k + i]) == 60 for k in range(0, 100, 5) for i in (3, 4))
+
+
+def test_no_window_repeats_after_all(spark):
+    """Exact repeats in texts that share phrases: none of 18 words is left twice."""
+    stock = [prose(rng.randint(18, 70)) for _ in range(30)]
+    docs = [" ".join(sum((prose(rng.randint(3, 40)) + rng.choice(stock) for _ in range(rng.randint(1, 4))), [])) for _ in range(120)]
+    new = [r.text.split() for r in p.deduplicated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)).collect()]
+    size = p.LEAST_WORDS
+    seen = Counter(tuple(w[i : i + size]) for w in new for i in range(len(w) - size + 1))
+    assert max(seen.values()) == 1
+
+
+@pytest.mark.parametrize("low, high", [(51, 138), (139, 300)])
+def test_recall_of_edits_anywhere_against_brute_force(spark, low, high):
+    docs, truth = [], []
+    for k in range(100):
+        passage = prose(rng.randint(low, high))
+        edited = passage[:]
+        for _ in range(rng.randint(1, max(1, len(passage) // 45))):
+            at = rng.randrange(len(edited))
+            edited[at : at + rng.choice([0, 1, 1, 2])] = rng.choice([["edit"], ["edit"], ["two", "more"], []])
+        one, two = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (passage, edited))
+        truth.append(len(one & two) >= 0.8 * len(one | two))
+        docs += [" ".join(prose(50) + passage + prose(50)), " ".join(prose(50) + edited + prose(50))]
+    got = {r.doc_id: r.n_removed for r in p.digest(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    near = [k for k in range(100) if truth[k]]
+    found = [k for k in near if got[2 * k + 1] >= 0.9 * len(" ".join(docs[2 * k + 1].split()[50:-50]))]
+    assert len(near) > 50 and len(found) >= 0.9 * len(near), (len(found), len(near))
+    assert all(got[2 * k] == 0 for k in range(100))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_places_meet_the_first_and_the_one_before(spark, parts):
+    """Whatever the ranges: one anchor over many of them, and repeated rows."""
+    r = random.Random(parts)
+    rows = sorted({(r.choice([5, 5, 5, *range(-9, 9)]), r.randrange(40), 1, r.randrange(9), 50) for _ in range(300)})
+    rows = list({x[:3]: x for x in rows}.values())
+    want: Counter = Counter()
+    for key in {x[0] for x in rows}:
+        own = sorted(x[1:4] for x in rows if x[0] == key)
+        want.update({(*x, *own[0]) for x in own[1:]} | {(*x, *y) for x, y in zip(own[1:], own, strict=False)})
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        frame = spark.createDataFrame(rows + rows[:50], "key long, row_key long, row_id long, place long, n_words long")
+        got = Counter((x.row_key, x.row_id, x.place, x.to_key, x.to_id, x.to_place) for x in p.met_places(frame).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == want
