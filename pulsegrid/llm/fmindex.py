@@ -1,16 +1,18 @@
 """Benchmark decontamination with one FM-index per training shard.
 
-A shard is one Arrow batch of documents.  Benchmark windows are found in it by
+A shard is a stretch of an Arrow batch, ``SHARD_BYTES`` of text.  Benchmark windows are found in it by
 backward search through wavelet-matrix ranks, located through sampled suffix
 positions, and merged into removal spans.  Only stretches of benchmark vocabulary
 long enough for a window enter the index: no window can occur anywhere else, so
 nothing is lost and the index stays far smaller than the shard.
 
-Documents are never shuffled.  The benchmark is cut into blocks of about
-``block_bytes`` of text; each block is broadcast to a pass of its own over the
-documents, written before the next one, so neither a broadcast nor a worker grows
-with the benchmark.  A block keeps its words once, as 32-bit symbols, and its windows
-as places in them; a shard looks up only windows whose last words occur in it.
+The benchmark is cut into blocks of about ``block_bytes`` of text; each block is broadcast
+to a pass of its own over the documents, so neither a broadcast nor a worker grows with
+the benchmark.  With one block the pass adds its result to the documents, which are not
+shuffled.  With more, a pass writes what it finds, by text, and no documents; the finds
+meet the documents once, after the last block.  A block keeps its words once, as 32-bit
+symbols, and its windows as places in them; a shard looks up only windows whose last words
+occur in it.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsegrid.llm.storage import written
+from pulsegrid.llm.storage import dropped, written
 from pulsegrid.llm.text import Rolling, owners, ragged, raw_strings, runs, words
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20
 SAMPLE_EVERY = 16
 #: Words at the end of a window by which a shard chooses the windows that it looks up.
 TAIL = 3
@@ -269,9 +272,16 @@ def search_shard(texts: pa.Array, windows: Windows) -> dict[str, list]:
     return found
 
 
-def _merge(a: tuple[list, list], b: tuple[list, list]) -> tuple[list[int], list[int]]:
+def search(texts: pa.Array, windows: Windows, shard_bytes: int = SHARD_BYTES) -> dict[str, list]:
+    """What ``search_shard`` finds, shard by shard."""
+    _, offsets = raw_strings(texts)
+    parts = [search_shard(texts.slice(i, j - i), windows) for i, j in runs(offsets, shard_bytes)]
+    return {name: [x for part in parts for x in part[name]] for name in (f.name for f in FOUND)}
+
+
+def _merged(starts: list[int], stops: list[int]) -> tuple[list[int], list[int]]:
     out: list[list[int]] = []
-    for x, y in sorted([*zip(*a, strict=True), *zip(*b, strict=True)]):
+    for x, y in sorted(zip(starts, stops, strict=True)):
         if out and x <= out[-1][1]:
             out[-1][1] = max(y, out[-1][1])
         else:
@@ -279,58 +289,90 @@ def _merge(a: tuple[list, list], b: tuple[list, list]) -> tuple[list[int], list[
     return [x for x, _ in out], [y for _, y in out]
 
 
-def _count_words(text: bytes, starts: list[int], stops: list[int]) -> int:
-    data = np.frombuffer(text, np.uint8)
-    return sum(len(words(data[a:b], np.array([0, b - a]))[0]) for a, b in zip(starts, stops, strict=True))
+def _n_words(data: np.ndarray) -> int:
+    return len(words(data, np.array([0, len(data)]))[0])
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[tuple[list, list]]:
-    """Benchmark texts in blocks; each is gathered and broadcast by itself."""
+def _block(benchmark: DataFrame, k: int, n: int, window: int) -> Windows:
+    """Windows of block ``k`` of ``n``; each is gathered and broadcast by itself."""
     held = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    total = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    for k in range(n):
-        block = held if n == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        table = block.toArrow()
-        yield table.column("item_id").to_pylist(), table.column("text").to_pylist()
+    table = (held if n == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).toArrow()
+    return Windows(table.column("item_id").to_pylist(), table.column("text").to_pylist(), window)
+
+
+_ARROW = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("span_start", pa.list_(pa.int64())), ("span_stop", pa.list_(pa.int64())), ("n_hit", pa.int64())])
+
+
+def _struct(found: dict[str, list]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(found[f.name], f.type) for f in _ARROW], fields=list(_ARROW))
+
 
+def _block_hits(docs: DataFrame, windows, text_col: str) -> DataFrame:
+    """``__text_key``, items and spans of the texts that a block has something in."""
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column ``found``: a struct of ``n_words``, ``n_hit``,
+    def one(batches):
+        for batch in batches:
+            found = search(batch.column(1), windows.value)
+            hit = pa.array([bool(x) for x in found["span_start"]], pa.bool_())
+            columns = [pa.array(found[c], pa.list_(pa.int64())) for c in ("items", "span_start", "span_stop")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["__text_key", "items", "span_start", "span_stop"]).filter(hit)
+
+    return docs.select("__text_key", text_col).mapInArrow(one, "__text_key binary, items array<long>, span_start array<long>, span_stop array<long>")
+
+
+def _in_blocks(docs: DataFrame, benchmark: DataFrame, window: int, n: int, text_col: str, into: str) -> DataFrame:
+    spark, names = docs.sparkSession, docs.columns
+    keyed = docs.withColumn("__text_key", F.unhex(F.md5(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))))
+    hits = []
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(_block(benchmark, k, n, window))
+        hits.append(written(_block_hits(keyed, shared, text_col).dropDuplicates(["__text_key"]), "hits"))
+        shared.unpersist()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    gathered = [F.flatten(F.collect_list(F.struct(*columns)[c])).alias(c) for columns in [("items", "span_start", "span_stop")] for c in columns]
+    by_text = written(every.groupBy("__text_key").agg(*gathered).select("__text_key", F.struct("items", "span_start", "span_stop").alias("__hits")), "hits")
+    dropped(*hits)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, FOUND)])
+
+    def one(batches):
+        for batch in batches:
+            data, offsets = raw_strings(batch.column(names.index(text_col)))
+            found = {f.name: [] for f in FOUND}
+            for k, hit in enumerate(batch.column(len(names)).to_pylist()):
+                own = data[offsets[k] : offsets[k + 1]]
+                starts, stops = _merged(hit["span_start"], hit["span_stop"]) if hit else ([], [])
+                n_hit = sum(_n_words(own[a:b]) for a, b in zip(starts, stops, strict=True))
+                for name, x in zip(found, (_n_words(own), sorted(set(hit["items"])) if hit else [], starts, stops, n_hit), strict=True):
+                    found[name].append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], _struct(found)], names=[*names, into])
+
+    return keyed.join(by_text, "__text_key", "left").select(*names, "__hits").mapInArrow(one, schema)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text_col: str = "text", into: str = "found") -> DataFrame:
+    """``docs`` with one more column ``into``: a struct of ``n_words``, ``n_hit``,
     ``items`` (ids of items with an occurring window, ascending) and the merged byte
     spans ``span_start``/``span_stop`` of hit words.
 
     Null and empty texts have no words and no hits.  Repeated rows are judged one by
     one.  An empty benchmark hits nothing.  Benchmark rows without an id still mark
-    words but are not listed.  A column of docs already called ``found`` is replaced.
+    words but are not listed.  A column of docs already called ``into`` is replaced.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("found")
-    out = docs
-    schema = T.StructType([*docs.schema.fields, T.StructField("found", FOUND)])
-    arrow_found = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("span_start", pa.list_(pa.int64())), ("span_stop", pa.list_(pa.int64())), ("n_hit", pa.int64())])
-    for k, (ids, texts) in enumerate(_blocks(benchmark, block_bytes)):
-        if k:
-            out = written(out, "found")  # or else every block's worker would live at once
-        shared = spark.sparkContext.broadcast(Windows(ids, texts, window))
-
-        def one(batches, shared=shared, again=k > 0):
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                new = search_shard(texts, shared.value)
-                if again:
-                    for i, old in enumerate(batch.column(batch.schema.get_field_index("found")).to_pylist()):
-                        if not (old["span_start"] or new["span_start"][i]):
-                            continue
-                        new["items"][i] = sorted({*old["items"], *new["items"][i]})
-                        new["span_start"][i], new["span_stop"][i] = _merge((old["span_start"], old["span_stop"]), (new["span_start"][i], new["span_stop"][i]))
-                        new["n_hit"][i] = _count_words(texts[i].as_py().encode(), new["span_start"][i], new["span_stop"][i])
-                column = pa.StructArray.from_arrays([pa.array(new[f.name], f.type) for f in arrow_found], fields=list(arrow_found))
-                rest = [(f, c) for f, c in zip(batch.schema, batch.columns, strict=True) if f.name != "found"]
-                yield pa.RecordBatch.from_arrays([c for _, c in rest] + [column], schema=pa.schema([f for f, _ in rest] + [pa.field("found", arrow_found)]))
-
-        out = out.mapInArrow(one, schema)
-    return out
+    docs = docs.drop(into)
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, math.ceil(total / block_bytes))
+    if n > 1:
+        return _in_blocks(docs, benchmark, window, n, text_col, into)
+    shared = docs.sparkSession.sparkContext.broadcast(_block(benchmark, 0, 1, window))
+    at = docs.columns.index(text_col)
+
+    def one(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _struct(search(batch.column(at), shared.value))], names=[*batch.schema.names, into])
+
+    return docs.mapInArrow(one, T.StructType([*docs.schema.fields, T.StructField(into, FOUND)]))
 
 
 def contaminated(found="found"):
@@ -339,20 +381,22 @@ def contaminated(found="found"):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Documents that the rule leaves, unchanged."""
-    return find_contamination(docs, benchmark, **options).where(~contaminated()).select(*docs.columns)
+    """Documents that the rule leaves, with all their columns as they came.
+
+    Null and empty texts stay; repeated rows are judged one by one."""
+    return find_contamination(docs, benchmark, into="__found", **options).where(~contaminated("__found")).select(*docs.columns)
 
 
 def excise(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Documents with the hit spans cut out of contaminated texts.
 
     Null texts stay null; repeated rows are cut one by one; other columns are kept."""
-    found = find_contamination(docs, benchmark, text_col=text_col, **options)
+    found = find_contamination(docs, benchmark, text_col=text_col, into="__found", **options)
     raw = F.encode(F.col(text_col), "UTF-8")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("found.span_stop"))
-    stops = F.concat(F.col("found.span_start"), F.array(F.octet_length(F.col(text_col)).cast("long")))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("__found.span_stop"))
+    stops = F.concat(F.col("__found.span_start"), F.array(F.octet_length(F.col(text_col)).cast("long")))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda s: F.decode(F.substring(raw, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")), "UTF-8")), "")
-    return found.withColumn(text_col, F.when(contaminated(), kept).otherwise(F.col(text_col))).select(*docs.columns)
+    return found.withColumn(text_col, F.when(contaminated("__found"), kept).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 RUN_BYTES = 1 << 20
+#: Words of a longer text are hashed in stretches of about so many bytes.
+STRETCH_BYTES = 4 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # odd, so it can be inverted modulo 2**64
@@ -129,12 +131,16 @@ def bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, stretch: int = STRETCH_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of A-Z-lowered texts: byte starts, byte stops, 64-bit hashes and word
     offsets by document.  A word never crosses into the next document."""
     low = LOWER[data]
     starts, stops = bounds(WORD_BYTE[low], offsets)
-    hashes = Rolling.of_bytes(low).spans(starts, stops) if len(starts) else np.zeros(0, np.uint64)
+    hashes, k = np.zeros(len(starts), np.uint64), 0
+    while k < len(starts):
+        j = max(k + 1, int(np.searchsorted(stops, starts[k] + stretch, "right")))
+        hashes[k:j] = Rolling.of_bytes(low[starts[k] : stops[j - 1]]).spans(starts[k:j] - starts[k], stops[k:j] - starts[k])
+        k = j
     return starts, stops, hashes, np.searchsorted(starts, offsets, "left")
 
 

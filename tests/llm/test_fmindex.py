@@ -1,8 +1,10 @@
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from pulsegrid.llm import fmindex
+from pulsegrid.llm import fmindex, storage, text
 
 
 def test_index_finds_every_occurrence():
@@ -74,3 +76,42 @@ def test_equal_windows_of_items_are_listed_for_both():
     assert len(windows.stops) == 3
     found = fmindex.search_shard(__import__("pyarrow").array(["x y " + item]), windows)
     assert found["items"] == [[4, 5]] and found["n_hit"].tolist() == [15]
+
+
+def test_blocks_leave_little_behind_and_callers_keep_their_columns(spark):
+    items, docs = _corpus()
+    frame = spark.createDataFrame([(i, t, f"f{i}", i) for i, t in enumerate(docs * 3)], "doc_id long, text string, found string, items int")
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    shared = storage.shared_dir(spark).removeprefix("file://")
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(shared) if "/hits-" in d for f in files)
+
+    before = held()
+    some = {size: [tuple(r) for r in fmindex.drop_contaminated(frame, bench, block_bytes=size).collect()] for size in (1 << 20, 200)}
+    assert held() - before < sum(len(t or "") for t in docs * 3)
+    assert sorted(some[200], key=repr) == sorted(some[1 << 20], key=repr)
+    want = {(i, t, f"f{i}", i) for i, t in enumerate(docs * 3)}
+    assert 0 < len(some[200]) < len(want) and set(some[200]) <= want
+    cut = fmindex.excise(frame, bench, block_bytes=200)
+    assert cut.schema == frame.schema and {(r.doc_id, r.found, r["items"]) for r in cut.collect()} == {(i, f"f{i}", i) for i in range(len(docs) * 3)}
+
+
+def test_shards_and_stretches_of_any_size_find_the_same():
+    items, docs = _corpus()
+    windows = fmindex.Windows(list(items), list(items.values()))
+    whole = fmindex.search(pa.array(docs, pa.string()), windows)
+    small = fmindex.search(pa.array(docs, pa.string()), windows, shard_bytes=100)
+    assert {k: [str(x) for x in v] for k, v in whole.items()} == {k: [str(x) for x in v] for k, v in small.items()}
+    data, offsets = text.raw_strings(pa.array(docs, pa.string()))
+    for stretch in (1, 7, 1000):
+        assert all((a == b).all() for a, b in zip(text.words(data, offsets), text.words(data, offsets, stretch), strict=True))
+
+
+def test_a_text_of_several_megabytes(spark):
+    items, docs = _corpus()
+    long = ("filler words that no item has " * 200_000) + items[5]
+    frame = spark.createDataFrame([(1, long), (2, items[5])], "doc_id long, text string")
+    got = {r.doc_id: r for r in fmindex.digest(frame, spark.createDataFrame([(5, items[5])], "item_id long, text string")).collect()}
+    n = len(items[5].split())
+    assert (got[1].n_hit, got[1].n_words, got[1].contaminated) == (n, 1_200_000 + n, False) and got[2].contaminated

@@ -49,6 +49,9 @@ def test_stages_keep_clashing_columns_and_do_what_they_say(spark, sf_dir):
     assert "other30" in text[9004] and "other" not in text[9005] and text[9005].startswith("second0 ")
     clean = stages["decontamination"](spark, cut, sf_dir)
     assert 9006 not in {r.doc_id for r in clean.collect()} and clean.columns == frame.columns
-    assert {r.row_id for r in clean.where("doc_id < 9000").collect()} == {"r"}
+    values = {r.doc_id: tuple(r[n] for n in names) for r in frame.collect()}
+    for step in (one, cut, clean, stages["quality"](spark, frame, sf_dir)):
+        assert step.dtypes == frame.dtypes
+        assert all(tuple(r[n] for n in names) == values[r.doc_id] for r in step.collect())
     assert 9001 in {r.doc_id for r in stages["packing"](spark, clean, sf_dir).collect()}
     assert stages["quality"](spark, frame, sf_dir).columns == frame.columns
