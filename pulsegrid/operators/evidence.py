@@ -6,8 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions.labels import OPEN_LICENCES, licence_name, one_spaced
-from pulsegrid.operators.retrieval import terms
+from pulsegrid.functions.stems import may_have_stem, stem
+from pulsegrid.operators.retrieval import stemmed, terms
 
+#: Words of a cited span, and how many of them stand before the hit; the
+#: signs that don't belong to a word at its edges.
 SPAN_WORDS, SPAN_BEFORE = 64, 16
 EDGES = r"""^[.,;:!?()\[\]{}"']+|[.,;:!?()\[\]{}"']+$"""
 WEEK = 7
@@ -34,11 +37,11 @@ def licensed(entries: DataFrame) -> DataFrame:
 
 
 def in_domain(questions: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
-    """Keys of every question and whether one of its terms is in the lexicon.
+    """Keys of every question and whether a word of it has a stem of the lexicon.
 
-    Questions without terms, and all of them with an empty lexicon, are outside."""
-    asked = questions.select(*keys, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    inside = asked.join(lexicon.select("term"), "term", "left_semi").select(*keys).distinct().withColumn("inside", F.lit(True))
+    Questions without words, and all of them with an empty lexicon, are outside."""
+    asked = stemmed(questions.select(*keys, F.explode(F.array_distinct(terms(F.col("text")))).alias("term")))
+    inside = asked.join(lexicon.select("stem"), "stem", "left_semi").select(*keys).distinct().withColumn("inside", F.lit(True))
     return questions.select(*keys).distinct().join(inside, keys, "left").select(*keys, F.coalesce("inside", F.lit(False)).alias("in_domain"))
 
 
@@ -48,14 +51,21 @@ def match_expression(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat(F.lit('"'), F.array_join(found, '" OR "'), F.lit('"'))).otherwise("")
 
 
-def span_around(body: Column, query: list[str], size: int = SPAN_WORDS, before: int = SPAN_BEFORE) -> Column:
-    """``size`` words around the first that is in the query, or the first ones.
+def span_around(body: Column, stems: list[str], size: int = SPAN_WORDS, before: int = SPAN_BEFORE) -> Column:
+    """The slice of a body with ``size`` words around the first whose stem is asked for, or
+    the first ones: exactly as it stands there, from its first word to its last."""
+    parts = F.regexp_extract_all(body, F.lit(r"(\S+\s*)"), F.lit(1))
 
-    Words are joined by one blank, which ``cited`` takes as verbatim."""
-    words = F.filter(F.split(body, r"\s+"), lambda w: w != "")
-    hit = F.array_position(F.transform(words, lambda w: F.lower(F.regexp_replace(w, EDGES, "")).isin(query)), True).cast("int")
-    start = F.greatest(F.lit(0), F.least(hit - 1 - before, F.size(words) - size))
-    return F.array_join(F.slice(words, start + 1, F.lit(size)), " ")
+    def hit(w: Column) -> Column:
+        word = F.lower(F.regexp_replace(F.regexp_replace(w, r"\s+$", ""), EDGES, ""))
+        likely = F.lit(False)
+        for s in stems:
+            likely = likely | may_have_stem(word, s)
+        return F.when(likely, stem(word).isin(stems)).otherwise(False)
+
+    at = F.array_position(F.transform(parts, hit), True).cast("int")
+    start = F.greatest(F.lit(0), F.least(at - 1 - before, F.size(parts) - size))
+    return F.regexp_replace(F.array_join(F.slice(parts, start + 1, F.lit(size)), ""), r"\s+$", "")
 
 
 def alerts(scores: DataFrame, rules: dict[str, tuple[float, int]], days: int = 2) -> DataFrame:

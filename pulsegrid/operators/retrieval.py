@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrid.functions.stems import may_have_stem, stem, stem_table
 from pulsegrid.operators.rollup import r
 
 CHUNK, STRIDE, K1, B, RRF_K, LEAST_CHUNKS, RATE = 1200, 1000, 1.2, 0.75, 60, 3, 3.0
@@ -25,22 +26,46 @@ def document_frequency(chunked: DataFrame) -> DataFrame:
     return chunked.select(F.explode(F.array_distinct(terms(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def stemmed(words: DataFrame) -> DataFrame:
+    """Rows with a ``term`` and their ``stem``, worked out once for each different term."""
+    return words.join(stem_table(words), "term")
+
+
+def stem_frequency(chunked: DataFrame) -> DataFrame:
+    """``stem`` and the number of chunks that hold a word of it.
+
+    A chunk is told by its columns other than its body."""
+    keys = [c for c in chunked.columns if c != "body"]
+    words = chunked.select(*keys, F.explode(F.array_distinct(terms(F.col("body")))).alias("term"))
+    return stemmed(words).select(*keys, "stem").distinct().groupBy("stem").agg(F.count("*").alias("df"))
+
+
 def lexicon(own: DataFrame, control: DataFrame, least: int = LEAST_CHUNKS, rate: float = RATE) -> DataFrame:
-    """Terms of enough chunks whose rate is several times that of the control chunks."""
-    a, b = document_frequency(own), document_frequency(control).withColumnRenamed("df", "control_df")
+    """Stems of enough chunks whose rate is several times that of the control chunks."""
+    a, b = stem_frequency(own), stem_frequency(control).withColumnRenamed("df", "control_df")
     sizes = own.agg(F.count("*").alias("n")).crossJoin(control.agg(F.count("*").alias("m")))
-    joined = a.where(F.col("df") >= least).join(b, "term", "left").crossJoin(F.broadcast(sizes))
+    joined = a.where(F.col("df") >= least).join(b, "stem", "left").crossJoin(F.broadcast(sizes))
     held = F.coalesce("control_df", F.lit(0))
-    return joined.where(F.col("df") * F.col("m") >= rate * held * F.col("n")).select("term", "df", held.alias("control_df"))
-
-
-def bm25(chunked: DataFrame, keys: list[str], query: list[str]) -> DataFrame:
-    """BM25 of every chunk with a query term, by joins and sums over term counts."""
-    counted = chunked.withColumn("t", terms(F.col("body"))).withColumn("dl", F.size("t"))
-    totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = counted.select(*keys, "dl", F.explode("t").alias("term")).where(F.col("term").isin(query)).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # as many rows as the query has terms, and one
+    return joined.where(F.col("df") * F.col("m") >= rate * held * F.col("n")).select("stem", "df", held.alias("control_df"))
+
+
+def bm25(chunked: DataFrame, keys: list[str], stems: list[str]) -> DataFrame:
+    """BM25 of every chunk with a word of one of the query's ``stems``.
+
+    A chunk's words are filtered in its row, by their first letters before their stems are
+    worked out; only what is left becomes rows."""
+    def wanted(t: Column) -> Column:
+        out = F.lit(False)
+        for s in stems:
+            out = out | may_have_stem(t, s)
+        return out
+
+    counted = chunked.select(*keys, terms(F.col("body")).alias("t"))
+    totals = chunked.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("body")))).alias("avgdl"))
+    found = counted.select(*keys, F.size("t").alias("dl"), F.filter("t", wanted).alias("t")).where(F.size("t") > 0)
+    hits = found.select(*keys, "dl", F.explode(F.transform("t", stem)).alias("stem")).where(F.col("stem").isin(stems)).groupBy(*keys, "dl", "stem").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("stem").agg(F.count("*").alias("df"))
+    joined = hits.join(F.broadcast(df), "stem").crossJoin(F.broadcast(totals))  # as many rows as the query has stems, and one
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return joined.groupBy(*keys).agg(r(F.sum(part)).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import labels
 from pulsegrid.operators import evidence, retrieval
 from pulsegrid.plans.daily import short_series
-from pulsegrid.plans.other import CHUNKS, WORDS, _chunks
+from pulsegrid.plans.other import CHUNKS, STEMS, WORDS, _chunks
 from pulsegrid.plans.registry import query, views
 from pulsegrid.sources.adapters import DAILY_SHORT, RECORDS, SERIES, records, table
 
@@ -47,10 +47,10 @@ def licence_gate(spark, sf_dir):
 
 @query(
     CHUNKS
-    + """, cdf AS (SELECT term, count(*) AS control_df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS term FROM control) GROUP BY 1),
-lexicon AS (SELECT term FROM cdf LEFT JOIN df USING (term) WHERE control_df >= 3 AND control_df * (SELECT count(*) FROM chunks) >= 3 * coalesce(df, 0) * (SELECT count(*) FROM control)),
+    + STEMS
+    + """, lexicon AS (SELECT stem FROM cdf LEFT JOIN sdf USING (stem) WHERE control_df >= 3 AND control_df * (SELECT count(*) FROM chunks) >= 3 * coalesce(df, 0) * (SELECT count(*) FROM control)),
 asked AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations)
-SELECT DISTINCT conv_id, turn, (conv_id, turn) IN (SELECT (conv_id, turn) FROM asked SEMI JOIN lexicon USING (term)) AS in_domain FROM conversations"""
+SELECT DISTINCT conv_id, turn, (conv_id, turn) IN (SELECT (conv_id, turn) FROM asked JOIN stems USING (term) SEMI JOIN lexicon USING (stem)) AS in_domain FROM conversations"""
 )
 def question_gate(spark, sf_dir):
     # the benchmark's own words, against those of all documents: some questions lie outside
@@ -67,13 +67,14 @@ def match_expressions(spark, sf_dir):
 
 @query(
     CHUNKS
-    + r""", w AS (SELECT doc_id, chunk_no, regexp_extract_all(body, '\S+') AS words FROM chunks),
-u AS (SELECT doc_id, chunk_no, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
-hit AS (SELECT doc_id, chunk_no, min(i) AS i FROM u WHERE lower(regexp_replace(word, '^[.,;:!?()\[\]{}"'']+|[.,;:!?()\[\]{}"'']+$', '', 'g')) IN ("""
+    + STEMS.replace("UNION SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM conversations", r"""UNION SELECT lower(regexp_replace(w, '^[.,;:!?()\[\]{}"'']+|[.,;:!?()\[\]{}"'']+$', '', 'g')) FROM (SELECT unnest(regexp_extract_all(body, '\S+')) AS w FROM chunks)""")
+    + r""", w AS (SELECT doc_id, chunk_no, regexp_extract_all(body, '\S+\s*') AS parts FROM chunks),
+u AS (SELECT doc_id, chunk_no, unnest(parts) AS word, generate_subscripts(parts, 1) AS i FROM w),
+hit AS (SELECT doc_id, chunk_no, min(i) AS i FROM u JOIN stems ON term = lower(regexp_replace(regexp_replace(word, '\s+$', ''), '^[.,;:!?()\[\]{}"'']+|[.,;:!?()\[\]{}"'']+$', '', 'g')) WHERE stem IN ("""
     + ", ".join(f"'{x}'" for x in WORDS)
-    + """) GROUP BY 1, 2),
-s AS (SELECT doc_id, chunk_no, words, greatest(0, least(coalesce(hit.i, 0) - 17, len(words) - 64)) AS start FROM w LEFT JOIN hit USING (doc_id, chunk_no))
-SELECT doc_id, chunk_no, md5(array_to_string(words[start + 1 : start + 64], ' ')) AS span_md5 FROM s"""
+    + r""") GROUP BY 1, 2),
+s AS (SELECT doc_id, chunk_no, parts, greatest(0, least(coalesce(hit.i, 0) - 17, len(parts) - 64)) AS start FROM w LEFT JOIN hit USING (doc_id, chunk_no))
+SELECT doc_id, chunk_no, md5(regexp_replace(array_to_string(parts[start + 1 : start + 64], ''), '\s+$', '')) AS span_md5 FROM s"""
 )
 def spans_around(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.md5(evidence.span_around(F.col("body"), WORDS)).alias("span_md5"))

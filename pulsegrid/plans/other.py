@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.functions import units
+from pulsegrid.functions import stems, units
+from pulsegrid.functions.significance import correlation_p_sql
+from pulsegrid.functions.stems import stem_table_sql
 from pulsegrid.operators import correlation, ledger, retrieval
 from pulsegrid.operators.training import wear_hours
 from pulsegrid.plans.daily import WEAR, short_series
@@ -15,7 +17,14 @@ SHORT = views(RECORDS, DAILY_SHORT, SERIES)
 PAIRS = """, pairs AS (SELECT y.date, x.date AS x_date, x.value AS x, y.value AS y FROM series x JOIN series y ON y.date = x.date + 1 AND x.metric = 'click' AND y.metric = 'purchase'
   LEFT JOIN wear wx ON wx.date = x.date LEFT JOIN wear wy ON wy.date = y.date WHERE coalesce(wx.hours, 24) >= 12 AND coalesce(wy.hours, 24) >= 12)
 """
-INTERVAL = "n, round(rho, 5) AS rho, round(tanh(atanh(rho) - 1.959963985 * sqrt({k} / (n - 3))), 4) AS low, round(tanh(atanh(rho) + 1.959963985 * sqrt({k} / (n - 3))), 4) AS high"
+#: What a correlation is told with, from n, its coefficient c and whether a series is flat.
+TOLD = """CASE WHEN n < 8 THEN 'insufficient_data' WHEN flat THEN 'undefined_constant_series' ELSE 'ok' END AS status, n, round(c, 5) AS rho,
+  round(tanh(atanh(greatest(-0.999999, least(0.999999, c))) - 1.96 * sqrt({k} / (n - 3))), 4) AS low,
+  round(tanh(atanh(greatest(-0.999999, least(0.999999, c))) + 1.96 * sqrt({k} / (n - 3))), 4) AS high, round(""" + correlation_p_sql("c", "n") + ", 4) AS p"
+COEFFICIENT = "count(*) AS n, min(x) = max(x) OR min(y) = max(y) AS flat, CASE WHEN count(*) >= 8 AND min(x) < max(x) AND min(y) < max(y) THEN greatest(-1.0, least(1.0, corr(x, y))) END AS c"
+#: Benjamini-Hochberg over the rows of ``t`` that have a p.
+JUDGED = """j AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS qv
+  FROM (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k, count(*) OVER () AS m FROM t WHERE p IS NOT NULL))"""
 
 
 def _pairs(spark, sf_dir):
@@ -29,7 +38,7 @@ def lagged_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)
 
 
-@query(views(RECORDS, DAILY_SHORT, SERIES, WEAR) + PAIRS + ", a AS (SELECT 'click' AS metric, count(*) AS n, corr(x, y) AS rho FROM pairs) SELECT metric, " + INTERVAL.format(k="1.0") + " FROM a WHERE n >= 8")
+@query(views(RECORDS, DAILY_SHORT, SERIES, WEAR) + PAIRS + f", a AS (SELECT 'click' AS metric, {COEFFICIENT} FROM pairs) SELECT metric, " + TOLD.format(k="1.0") + " FROM a")
 def pearson(spark, sf_dir):
     return correlation.correlations(_pairs(spark, sf_dir).withColumn("metric", F.lit("click")), ["metric"])
 
@@ -40,9 +49,9 @@ RANKED = "(rank() OVER ({p}ORDER BY {c}) + (count(*) OVER (PARTITION BY {q}{c})
 @query(
     views(RECORDS, DAILY_SHORT, SERIES, WEAR)
     + PAIRS
-    + f", k AS (SELECT {RANKED.format(p='', q='', c='x')} AS x, {RANKED.format(p='', q='', c='y')} AS y FROM pairs), a AS (SELECT 'click' AS metric, count(*) AS n, corr(x, y) AS rho FROM k) SELECT metric, "
-    + INTERVAL.format(k="1.06")
-    + " FROM a WHERE n >= 8"
+    + f", k AS (SELECT {RANKED.format(p='', q='', c='x')} AS x, {RANKED.format(p='', q='', c='y')} AS y FROM pairs), a AS (SELECT 'click' AS metric, {COEFFICIENT} FROM k) SELECT metric, "
+    + TOLD.format(k="1.06")
+    + " FROM a"
 )
 def spearman(spark, sf_dir):
     return correlation.correlations(_pairs(spark, sf_dir).withColumn("metric", F.lit("click")), ["metric"], ranked=True)
@@ -55,10 +64,12 @@ LAGS = [0, 1, 2, 3]
     SHORT
     + f""", p AS (SELECT x.metric, CAST(lag AS INTEGER) AS lag, x.value AS x, y.value AS y FROM series x, unnest([0, 1, 2, 3]) t(lag), series y WHERE y.metric = 'purchase' AND x.metric <> 'purchase' AND y.date = x.date + CAST(lag AS INTEGER)),
 k AS (SELECT metric, lag, {RANKED.format(p='PARTITION BY metric, lag ', q='metric, lag, ', c='x')} AS x, {RANKED.format(p='PARTITION BY metric, lag ', q='metric, lag, ', c='y')} AS y FROM p),
-a AS (SELECT metric, lag, count(*) AS n, corr(x, y) AS rho FROM k GROUP BY 1, 2)
-SELECT metric, lag, """
-    + INTERVAL.format(k="1.06")
-    + " FROM a WHERE n >= 8"
+a AS (SELECT metric, lag, {COEFFICIENT} FROM k GROUP BY 1, 2),
+t AS (SELECT metric, lag, """
+    + TOLD.format(k="1.06")
+    + " FROM a WHERE c IS NOT NULL), "
+    + JUDGED
+    + " SELECT metric, lag, status, n, rho, low, high, p, round(qv, 4) AS q_value, round(qv, 6) <= 0.1 AS passed_fdr FROM j"
 )
 def correlation_scan(spark, sf_dir):
     return correlation.scan(short_series(spark, sf_dir), "purchase", LAGS)
@@ -187,23 +198,46 @@ def term_document_frequency(spark, sf_dir):
     return retrieval.document_frequency(_chunks(spark, sf_dir))
 
 
+#: Document frequencies of stems, of chunks (``df``) and of control texts (``cdf``).
+STEMS = (
+    """, words AS (SELECT doc_id, chunk_no, unnest(list_distinct(t)) AS term FROM terms),
+cwords AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS term FROM control),
+every_word AS (SELECT term FROM words UNION SELECT term FROM cwords UNION SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM conversations),
+"""
+    + stem_table_sql("every_word")
+    + """,
+sdf AS (SELECT stem, count(*) AS df FROM (SELECT DISTINCT doc_id, chunk_no, stem FROM words JOIN stems USING (term)) GROUP BY 1),
+cdf AS (SELECT stem, count(*) AS control_df FROM (SELECT DISTINCT item_id, stem FROM cwords JOIN stems USING (term)) GROUP BY 1)
+"""
+)
+
+
 @query(
     CHUNKS
-    + """, cdf AS (SELECT term, count(*) AS control_df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(body), '[a-z0-9]+'))) AS term FROM control) GROUP BY 1)
-SELECT term, df, coalesce(control_df, 0) AS control_df FROM df LEFT JOIN cdf USING (term) WHERE df >= 3 AND df * (SELECT count(*) FROM control) >= 3 * coalesce(control_df, 0) * (SELECT count(*) FROM chunks)"""
+    + STEMS
+    + "SELECT stem, df, coalesce(control_df, 0) AS control_df FROM sdf LEFT JOIN cdf USING (stem) WHERE df >= 3 AND df * (SELECT count(*) FROM control) >= 3 * coalesce(control_df, 0) * (SELECT count(*) FROM chunks)"
 )
 def domain_lexicon(spark, sf_dir):
     control = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("body"))
     return retrieval.lexicon(_chunks(spark, sf_dir), control)
 
 
-WORDS = ["ting", "shin", "queue", "einung", "thing", "ered"]
+@query(CHUNKS + STEMS + "SELECT stem, count(*) AS n_words, min(term) AS first_word, max(term) AS last_word FROM stems SEMI JOIN words USING (term) GROUP BY 1")
+def stem_families(spark, sf_dir):
+    """Stems of the corpus with the number of words that have them."""
+    words = _chunks(spark, sf_dir).select(F.explode(F.array_distinct(retrieval.terms(F.col("body")))).alias("term"))
+    return stems.stem_table(words).groupBy("stem").agg(F.count("*").alias("n_words"), F.min("term").alias("first_word"), F.max("term").alias("last_word"))
+
+
+#: Stems of a query's words.
+WORDS = ["ting", "shin", "queue", "einung", "thing", "er", "queu"]
 BM25 = (
     CHUNKS
+    + STEMS
     + f""", tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM terms),
-tf AS (SELECT doc_id, chunk_no, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, t, unnest(t) AS term FROM terms) WHERE term IN ({", ".join(f"'{w}'" for w in WORDS)}) GROUP BY 1, 2, 3, 4),
-tdf AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-bm AS (SELECT doc_id, chunk_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN tdf USING (term), tot GROUP BY 1, 2)
+tf AS (SELECT doc_id, chunk_no, len(t) AS dl, stem, count(*) AS tf FROM (SELECT doc_id, chunk_no, t, unnest(t) AS term FROM terms) JOIN stems USING (term) WHERE stem IN ({", ".join(f"'{w}'" for w in WORDS)}) GROUP BY 1, 2, 3, 4),
+tdf AS (SELECT stem, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT doc_id, chunk_no, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN tdf USING (stem), tot GROUP BY 1, 2)
 """
 )
 

@@ -7,8 +7,10 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import stats, times, windows
+from pulsegrid.functions.significance import correlation_p_sql
 from pulsegrid.operators import correlation
 from pulsegrid.plans.daily import short_series
+from pulsegrid.plans.other import COEFFICIENT, JUDGED, TOLD
 from pulsegrid.plans.registry import query, views
 from pulsegrid.sources.adapters import DAILY_SHORT, RECORDS, SERIES, SESSIONS, records, sessions, table
 
@@ -202,14 +204,14 @@ def degenerate_loads(spark, sf_dir):
 
 @query(
     views(RECORDS, DAILY_SHORT)
-    + f""", k AS (SELECT metric, last, row_number() OVER (PARTITION BY metric ORDER BY date DESC) AS k FROM daily WHERE date <= DATE '{AS_OF}')
+    + f""", k AS (SELECT metric, last, row_number() OVER (PARTITION BY metric ORDER BY date DESC) AS k FROM daily WHERE date <= DATE '{AS_OF}' AND last IS NOT NULL)
 SELECT metric, count(*) AS n, round(median(last), 4) AS resting FROM k WHERE k <= 28 GROUP BY 1"""
 )
 def resting_baseline(spark, sf_dir):
     """Median of the latest 28 days' last values up to a day."""
     from pulsegrid.sources.adapters import daily_short
 
-    days = daily_short(spark, sf_dir).where(F.col("date") <= F.lit(AS_OF).cast("date"))
+    days = daily_short(spark, sf_dir).where((F.col("date") <= F.lit(AS_OF).cast("date")) & F.col("last").isNotNull())
     # days of one metric are few: the latest are cut from a sorted array
     latest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("date", "last")))), 1, 28)
     held = days.groupBy("metric").agg(latest.alias("latest")).select("metric", F.explode("latest.last").alias("last"))
@@ -218,7 +220,7 @@ def resting_baseline(spark, sf_dir):
 
 # Registered hypotheses ---------------------------------------------------------------
 
-HYPOTHESES = [("h1", "click", "purchase", 0), ("h2", "click", "purchase", 1), ("h3", "view", "error", 0), ("h4", "signup", "view", 2), ("h5", "error", "click", 1)]
+HYPOTHESES = [("h1", "click", "purchase", 0), ("h2", "click", "purchase", 1), ("h3", "view", "error", 0), ("h4", "signup", "view", 2), ("h5", "error", "click", 1), ("h6", "click", "purchase", 26), ("h7", "no_such_metric", "click", 0)]
 TARGET, POWER = 0.35, 0.8
 
 
@@ -234,22 +236,32 @@ def pairs_needed(rho: float, tests: int, q: float = correlation.FDR, power: floa
 @query(
     views(RECORDS, DAILY_SHORT, SERIES)
     + f""", h AS (SELECT * FROM (VALUES {", ".join(map(str, HYPOTHESES))}) t(name, mx, my, lag)),
-p AS (SELECT name, x.value AS x, y.value AS y FROM h JOIN series y ON y.metric = h.my JOIN series x ON x.metric = h.mx AND x.date = y.date - h.lag),
-k AS (SELECT name, (rank() OVER (PARTITION BY name ORDER BY x) + (count(*) OVER (PARTITION BY name, x) - 1) / 2) AS x, (rank() OVER (PARTITION BY name ORDER BY y) + (count(*) OVER (PARTITION BY name, y) - 1) / 2) AS y FROM p),
-a AS (SELECT name, count(*) AS n, corr(x, y) AS rho FROM k GROUP BY 1)
-SELECT name, n, round(rho, 5) AS rho, n >= {pairs_needed(TARGET, len(HYPOTHESES))!r}::DOUBLE AS enough, CAST(ceil({pairs_needed(TARGET, len(HYPOTHESES))!r}::DOUBLE) AS BIGINT) AS needed FROM a WHERE n >= 8"""
+s AS (SELECT name, x.value AS x, y.value AS y FROM h JOIN series y ON y.metric = h.my JOIN series x ON x.metric = h.mx AND x.date = y.date - h.lag),
+k AS (SELECT name, (rank() OVER (PARTITION BY name ORDER BY x) + (count(*) OVER (PARTITION BY name, x) - 1) / 2) AS x, (rank() OVER (PARTITION BY name ORDER BY y) + (count(*) OVER (PARTITION BY name, y) - 1) / 2) AS y FROM s),
+a AS (SELECT h.*, coalesce(n, 0) AS n, coalesce(flat, false) AS flat, c FROM h LEFT JOIN (SELECT name, {COEFFICIENT} FROM k GROUP BY 1) USING (name)),
+t AS (SELECT name, mx, my, lag, {TOLD.format(k="1.06")} FROM a),
+{JUDGED},
+tests AS (SELECT greatest(count(p), 1) AS m FROM t),
+halved AS (
+  WITH RECURSIVE g(name, n, low, high, step) AS (
+    SELECT name, n, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM t WHERE n > 2
+    UNION ALL
+    SELECT name, n, CASE WHEN p > {correlation.FDR} / m THEN c ELSE low END, CASE WHEN p > {correlation.FDR} / m THEN high ELSE c END, step + 1
+    FROM (SELECT *, {correlation_p_sql("c", "n")} AS p FROM (SELECT *, (low + high) / 2 AS c FROM g WHERE step < 40)), tests)
+  SELECT name, round(high, 4) AS least_rho FROM g WHERE step = 40)
+SELECT t.name, t.mx, t.my, CAST(t.lag AS INTEGER) AS lag, t.status, t.n, t.rho, t.p, round(qv, 4) AS q_value, coalesce(round(qv, 6) <= {correlation.FDR}, false) AS passed_fdr, least_rho,
+  t.n >= {pairs_needed(TARGET, len(HYPOTHESES))!r}::DOUBLE AS enough, CAST(ceil({pairs_needed(TARGET, len(HYPOTHESES))!r}::DOUBLE) AS BIGINT) AS needed
+FROM t LEFT JOIN j ON j.name = t.name LEFT JOIN halved ON halved.name = t.name"""
 )
 def registered_hypotheses(spark, sf_dir):
-    """Rank correlations of the pairs that were named beforehand, and whether there are
-    days enough to see an effect of the size that was asked about."""
+    """Rank correlations of the pairs that were named beforehand with p and q, the least one
+    that could have shown, and whether there are days enough to see an effect of the size
+    that was asked about.  Pairs that can't be tested say why."""
     rows = ", ".join(f"('{n}', '{x}', '{y}', {k})" for n, x, y, k in HYPOTHESES)
     named = spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, mx, my, lag)")
-    series = short_series(spark, sf_dir).select("metric", "date", "value")
-    y = F.broadcast(named).join(series.select(F.col("metric").alias("my"), F.col("date").alias("on"), F.col("value").alias("y")), "my")  # a few registered rows
-    pairs = y.withColumn("date", F.expr("date_sub(on, lag)")).join(series.select(F.col("metric").alias("mx"), "date", F.col("value").alias("x")), ["mx", "date"])
-    found = correlation.correlations(pairs.select("name", "x", "y"), ["name"], ranked=True)
+    found = correlation.tested(named, short_series(spark, sf_dir))
     least = pairs_needed(TARGET, len(HYPOTHESES))
-    return found.select("name", "n", "rho", (F.col("n") >= least).alias("enough"), F.ceil(F.lit(least)).cast("long").alias("needed"))
+    return found.select("name", "mx", "my", "lag", "status", "n", "rho", "p", "q_value", "passed_fdr", "least_rho", (F.col("n") >= least).alias("enough"), F.ceil(F.lit(least)).cast("long").alias("needed"))
 
 
 # Skip reasons --------------------------------------------------------------------------
