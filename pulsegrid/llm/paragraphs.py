@@ -11,7 +11,7 @@ follow each other start ``WINDOW`` grams of words; the one with the smallest has
 anchor: a MinHash band of one row, the same wherever these words stand.  A place meets the
 first place of its anchor and the one before it, where the words around are compared: what
 is equal for ``LEAST_WORDS`` words goes, and what goes on past edits while the exact Jaccard
-similarity of the shingles holds.  An anchor is two thirds of ``LEAST_WORDS`` long, so that
+similarity of the shingles holds.  An anchor is half of ``LEAST_WORDS`` long, so that
 scattered pieces of a passage, too short to go themselves, hold only some of its anchors:
 by the others its copies meet.  Inside a text a place meets the one before.  As everything
 points to an earlier place, one occurrence stays of every component of similar passages.
@@ -38,7 +38,7 @@ SIMILARITY = 0.8
 #: Repeats of fewer words stay: headings, stock phrases, licence lines.
 LEAST_WORDS = 18
 BANDS, ROWS = 6, 2  # recall at a similarity of 0.8: 1 - (1 - 0.8**2)**6 = 0.998
-WINDOW = 7  # grams among which an anchor is chosen: 12 words each, for LEAST_WORDS
+WINDOW = 10  # grams among which an anchor is chosen: 9 words each, for LEAST_WORDS
 TILE = 48  # words that are looked up together
 
 

@@ -21,14 +21,14 @@ def test_parts_of_a_run_equal_parts_of_each_text():
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     together = p.Parts(np.frombuffer(b"".join(raw), np.uint8), offsets)
     doc, first, last = together.lines()
-    gram, at = together.anchors(12)
+    gram, at = together.anchors(9)
     for k, r in enumerate(raw):
         alone = p.Parts(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
         _, f, z = alone.lines()
         base = together.word_at[k]
         assert (first[doc == k] - base).tolist() == f.tolist() and (last[doc == k] - base).tolist() == z.tolist()
         own = together.owner[at] == k
-        g, a = alone.anchors(12)
+        g, a = alone.anchors(9)
         assert gram[own].tolist() == g.tolist() and (at[own] - base).tolist() == a.tolist()
 
 
