@@ -9,12 +9,10 @@ Nothing is held on the driver, and no state grows with the stream.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.operators.rollup import daily_rollup
+from pulsegrid.sources.shared import shared_path
 
 MEASURES = ["count", "sum", "avg", "min", "max", "last"]
 
@@ -56,18 +54,6 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("metric", "local_date", "v.*")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one only where it is unset and
-    all of Spark runs in one process, as in tests."""
-    held = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        held = "file://" + tempfile.mkdtemp(prefix="rollup-")
-    return f"{held.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def rolled_from_files(spark: SparkSession, sf_dir: str, boundary: str | None = None, files_per_batch: int = 64) -> DataFrame:
     """Streams the events table, a file or a folder of them, to its end and returns the
     daily roll-up."""
