@@ -45,7 +45,7 @@ def correlations(pairs: DataFrame, keys: list[str], ranked: bool = False) -> Dat
     ends = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
     if ranked:
         pairs = pairs.withColumns({"x": average_rank("x", keys), "y": average_rank("y", keys)})
-    out = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"), *ends)
+    out = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("rho"), *ends)
     few, flat = F.col("n") < LEAST_PAIRS, (F.col("x0") == F.col("x1")) | (F.col("y0") == F.col("y1"))
     out = out.withColumn("status", F.when(few, "insufficient_data").when(flat, "undefined_constant_series").otherwise("ok"))
     rho = F.when(F.col("status") == "ok", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho"))))
