@@ -31,7 +31,7 @@ from pulsegrid.llm.dartminhash import linked
 from pulsegrid.llm.skew import met
 from pulsegrid.llm.storage import dropped, written
 from pulsegrid.llm.suffixes import KEYS, keyed, sliding_min
-from pulsegrid.llm.text import Rolling, fold, ragged, raw_strings, runs, words
+from pulsegrid.llm.text import Rolling, fold, mix, ragged, raw_strings, runs, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -382,61 +382,76 @@ def repeated(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, row
     return held.select(F.col("row_key").alias("__row_key"), F.col("row_id").alias("__row_id"), F.struct("places", "shared", "inner").alias("__repeats"))
 
 
+def grams_of(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the shingles of a text's 32-bit words."""
+    n = max(0, len(words) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n].astype(np.uint64)
+    return mix(out)
+
+
 def _steps(own: list[int], other: list[int]) -> list[tuple[int, int]]:
-    """Ways to go on past edits, from the first words on: how many words are taken here
+    """Ways to go on past edits, from the first shingles on: how many words are taken here
     and there, ends of equal words only.
 
     Each way leads to the nearest shingle that both sides have; edits may change, add or
     drop any number of words."""
     out, i, j = [(0, 0)], 0, 0
-    where: dict[tuple, list[int]] = {}
-    for y in range(len(other) - SHINGLE + 1):
-        where.setdefault(tuple(other[y : y + SHINGLE]), []).append(y)
+    if not own or not other:
+        return out
+    where: dict[int, list[int]] = {}
+    for y, gram in enumerate(other):
+        where.setdefault(gram, []).append(y)
     while True:
         best = None
-        for p in range(i, len(own) - SHINGLE + 1):
+        for p in range(i, len(own)):
             if best and p - i >= best[0]:
                 break
-            held = where.get(tuple(own[p : p + SHINGLE]), ())
-            at = bisect.bisect_left(held, j)
-            if at < len(held) and (best is None or p - i + held[at] - j < best[0]):
+            held = where.get(own[p])
+            at = bisect.bisect_left(held, j) if held else 0
+            if held and at < len(held) and (best is None or p - i + held[at] - j < best[0]):
                 best = (p - i + held[at] - j, p, held[at])
         if best is None:
             return out
         _, p, q = best
-        k, most = SHINGLE, min(len(own) - p, len(other) - q)
+        k, most = 1, min(len(own) - p, len(other) - q)
         while k < most and own[p + k] == other[q + k]:
             k += 1
-        i, j = p + k, q + k
+        i, j = p + k + SHINGLE - 1, q + k + SHINGLE - 1
         out.append((i, j))
 
 
-def alike(own: list[int], other: list[int], least: float) -> bool:
-    """Whether the Jaccard similarity of the sets of shingles reaches ``least``."""
-    a, b = ({tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)} for w in (own, other))
-    return len(a & b) >= least * len(a | b)
+def alike(own: np.ndarray, other: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets of shingles reaches ``least``."""
+    a, b = set(own.tolist()), set(other.tolist())
+    same = len(a & b)
+    return same >= least * (len(a) + len(b) - same)
 
 
 def near_stretch(own: np.ndarray, a: int, b: int, other: np.ndarray, shift: int, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> tuple[int, int] | None:
     """The longest stretch around words a to b, equal to those at ``shift`` words before
-    in ``other``, that goes on past an edit and is similar to what stands there."""
-    reach = reach_of(b - a, least_words, least)
+    in the other text, that goes on past an edit and is similar to what stands there.
+
+    Texts are given by their shingles."""
+    reach, back = reach_of(b - a, least_words, least), SHINGLE - 1
     x, y = a - shift, b - shift
-    left = _steps(own[max(0, a - reach) : a][::-1].tolist(), other[max(0, x - reach) : x][::-1].tolist())
-    right = _steps(own[b : b + reach].tolist(), other[y : y + reach].tolist())
+    before = lambda grams, at: grams[max(0, at - reach) : max(0, at - back)][::-1].tolist()
+    after = lambda grams, at: grams[at : max(at, at + reach - back)].tolist()
+    left, right = _steps(before(own, a), before(other, x)), _steps(after(own, b), after(other, y))
     ways = sorted(((i + j, i, p, j, q) for i, p in left for j, q in right), reverse=True)
     for more, i, p, j, q in ways:
-        if more and alike(own[a - i : b + j].tolist(), other[x - p : y + q].tolist(), least):
+        if more and alike(own[a - i : b + j - back], other[x - p : y + q - back], least):
             return a - i, b + j
     return None
 
 
-def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> list[tuple[int, int]]:
+def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int, least_words: int = LEAST_WORDS, least: float = SIMILARITY, grams: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Stretches of words that repeat ``other``, the words of an earlier place whose first
     one lies at word ``base`` of this text.  Anchors start from ``low`` to ``high``.
 
     Every stretch of equal words with an anchor's length is taken to its true ends, and
-    past edits where it stays similar."""
+    past edits where it stays similar.  ``grams`` are the shingles of ``own``, if known."""
     gram = gram_of(least_words)
     reach = max(least_words, reach_of(high - low + gram, least_words, least))
     a, b = max(0, base, low - reach), min(len(own), base + len(other), high + gram + reach)
@@ -444,12 +459,16 @@ def passages(own: np.ndarray, low: int, high: int, other: np.ndarray, base: int,
         return []
     same = np.concatenate([[False], own[a:b] == other[a - base : b - base], [False]])
     edge = np.flatnonzero(same[1:] != same[:-1])
+    grams, there = grams_of(own) if grams is None else grams, None
     out: list[tuple[int, int]] = []
     for p, q in zip((edge[::2] + a).tolist(), (edge[1::2] + a).tolist(), strict=True):
         if q - p < least_words or q <= low or p > high:
             continue
         out.append((p, q))
-        if reached := near_stretch(own, p, q, other, base, least_words, least):
+        if p == 0 and q == len(own):
+            continue
+        there = (grams if other is own else grams_of(other)) if there is None else there
+        if reached := near_stretch(grams, p, q, there, base, least_words, least):
             out.append(reached)
     return out
 
@@ -475,10 +494,11 @@ def spans_to_remove(text: bytes, parts: Parts, k: int, repeats: dict, lines: tup
         end = text.find(b"\n", parts.stops[lines[2][at] - 1] - parts.offsets[k])
         spans.append((begin, len(text) if end < 0 else end + 1))
     found: list[tuple[int, int]] = []
+    grams = grams_of(own)
     for first, last, shift, other, begin in _others(repeats["shared"] or []):
-        found += passages(own, first, last, other, begin + shift, least_words, least)
+        found += passages(own, first, last, other, begin + shift, least_words, least, grams)
     for r in repeats["inner"] or []:
-        found += passages(own, r["low"], r["high"], own, r["shift"], least_words, least)
+        found += passages(own, r["low"], r["high"], own, r["shift"], least_words, least, grams)
     spans += [(int(starts[a]), len(text) if b >= len(starts) else int(starts[b])) for a, b in found]
     out: list[list[int]] = []
     for a, b in sorted(spans):
