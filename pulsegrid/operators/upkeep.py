@@ -10,6 +10,7 @@ from pulsegrid.operators.buckets import BUCKET
 from pulsegrid.operators.rollup import r
 
 #: Buckets of a continuous block that pass before power has settled: three minutes.
+#: Fixed value: buckets of a block before its power counts, three minutes.
 POWER_LAG = 9
 
 
@@ -70,24 +71,34 @@ def unsettled(sessions: DataFrame, status: DataFrame, routes: DataFrame) -> Data
     return held.where(F.col("status").isNull() | (F.col("status") == "pending") | late).drop("routed")
 
 
-def settled_jog(buckets: DataFrame, flag: str = "is_jog", lag: int = POWER_LAG) -> DataFrame:
-    """Flagged buckets that at least ``lag`` flagged ones precede without a gap on their day."""
-    day = Window.partitionBy("local_date").orderBy("bkt")
-    runs = buckets.where(flag).withColumn("island", F.col("bkt") - F.row_number().over(day))
-    at = F.col("bkt") - F.min("bkt").over(Window.partitionBy("local_date", "island"))
-    return runs.withColumn("at", at).where(F.col("at") >= lag).drop("island", "at")
+def settled_in_runs(runs: DataFrame, buckets: DataFrame, flag: str = "is_jog", lag: int = POWER_LAG) -> DataFrame:
+    """Flagged buckets of each run (``id``, ``local_date``, ``bkt``, ``pace``) that come at
+    least ``lag`` buckets after their block began.
 
-
-def run_power(runs: DataFrame, settled: DataFrame, power: DataFrame, low: float, high: float) -> DataFrame:
+    Only the run's own window is looked at: a block that it starts in begins there.  A
+    flagged bucket right after one without the flag has waited one bucket already; after a
+    gap, or first in the run, it hasn't waited at all."""
+    first, last = F.ceil(F.col("start_s") / BUCKET), F.ceil(F.col("end_s") / BUCKET) - 1
+    laid = runs.where(last >= first).select("id", F.explode(F.sequence(first, last)).alias("bkt"))
+    own = laid.join(buckets.select("local_date", "bkt", "pace", F.col(flag).alias("on")), "bkt")
+    run = Window.partitionBy("id").orderBy("bkt")
+    beside = F.coalesce(F.lag("bkt").over(run) == F.col("bkt") - 1, F.lit(False))
+    opens = F.col("on") & ~(beside & F.coalesce(F.lag("on").over(run), F.lit(False)))
+    marked = own.withColumns({"opens": opens, "waited": F.when(opens & beside, 1).otherwise(0)})
+    block = marked.withColumn("block", F.count_if("opens").over(run)).where("on")
+    whole = Window.partitionBy("id", "block")
+    elapsed = F.col("bkt") - F.min("bkt").over(whole) + F.max("waited").over(whole)
+    return block.withColumn("elapsed", elapsed).where(F.col("elapsed") >= lag).select("id", "local_date", "bkt", "pace")
+
+
+def run_power(runs: DataFrame, buckets: DataFrame, power: DataFrame, low: float, high: float, flag: str = "is_jog", lag: int = POWER_LAG) -> DataFrame:
     """Mean power of each run over its settled buckets in a band of pace.
 
     Runs are laid over their buckets, power is averaged by day and bucket, and both meet
-    the settled buckets by equality."""
+    by equality.  ``runs`` are those that count as evidence: outdoors, with a route."""
     by_bucket = power.groupBy("local_date", F.floor(F.col("start_s") / BUCKET).alias("bkt")).agg(F.avg("value").alias("power"))
-    matched = settled.where(F.col("pace").between(low, high)).select("local_date", "bkt").join(by_bucket, ["local_date", "bkt"])
-    first, last = F.ceil(F.col("start_s") / BUCKET), F.ceil(F.col("end_s") / BUCKET) - 1
-    laid = runs.where(last >= first).select("id", F.explode(F.sequence(first, last)).alias("bkt"))
-    return laid.join(matched, "bkt").groupBy("id").agg(F.avg("power").alias("power"), F.count("*").alias("n_buckets"))
+    settled = settled_in_runs(runs, buckets, flag, lag).where(F.col("pace").between(low, high))
+    return settled.join(by_bucket, ["local_date", "bkt"]).groupBy("id").agg(F.avg("power").alias("power"), F.count("*").alias("n_buckets"))
 
 
 def monthly_power(runs: DataFrame, powers: DataFrame, least: int = 2) -> DataFrame:

@@ -81,17 +81,22 @@ def unsettled_sessions(spark, sf_dir):
 
 #: The queries' days hold short blocks, so they wait one bucket in place of POWER_LAG.
 LAG = 1
-POWER = f""", foot AS (SELECT local_date, bkt, pace FROM classified WHERE is_walk OR is_jog),
-isl AS (SELECT *, bkt - row_number() OVER (PARTITION BY local_date ORDER BY bkt) AS island FROM foot),
-settled AS (SELECT local_date, bkt FROM (SELECT *, bkt - min(bkt) OVER (PARTITION BY local_date, island) AS pos FROM isl) WHERE pos >= {LAG} AND pace BETWEEN 5 AND 40),
+POWER = f""", outdoors AS (SELECT * FROM sessions WHERE kind = 'run' AND source <> 'mirror'),
+laid AS (SELECT o.id, c.local_date, c.bkt, c.pace, c.is_walk OR c.is_jog AS held, lag(c.bkt) OVER r = c.bkt - 1 AS beside, lag(c.is_walk OR c.is_jog) OVER r AS held_before
+  FROM outdoors o JOIN classified c ON c.bkt * 20 >= o.start_s AND c.bkt * 20 < o.end_s WINDOW r AS (PARTITION BY o.id ORDER BY c.bkt)),
+blocks AS (SELECT *, sum(CASE WHEN held AND NOT coalesce(beside AND held_before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY bkt) AS block FROM laid),
+waits AS (SELECT *, bkt - min(bkt) OVER b + CASE WHEN first_value(coalesce(beside, false)) OVER (b ORDER BY bkt) THEN 1 ELSE 0 END AS elapsed FROM blocks WHERE held WINDOW b AS (PARTITION BY id, block)),
 pw AS (SELECT local_date, CAST(floor(start_s / 20) AS BIGINT) AS bkt, avg(value) AS power FROM records WHERE metric = 'purchase' GROUP BY 1, 2),
-runs AS (SELECT s.id, s.start_s, s.end_s, s.local_date, avg(p.power) AS power, count(*) AS n_buckets FROM sessions s JOIN pw p ON p.bkt * 20 >= s.start_s AND p.bkt * 20 < s.end_s JOIN settled t ON t.local_date = p.local_date AND t.bkt = p.bkt GROUP BY 1, 2, 3, 4)
+runs AS (SELECT o.id, o.start_s, o.end_s, o.local_date, avg(p.power) AS power, count(*) AS n_buckets FROM outdoors o JOIN waits w ON w.id = o.id AND elapsed >= {LAG} AND w.pace BETWEEN 5 AND 40 JOIN pw p ON p.local_date = w.local_date AND p.bkt = w.bkt GROUP BY 1, 2, 3, 4)
 """
 
 
+def _outdoors(spark, sf_dir):
+    return sessions(spark, sf_dir).where("kind = 'run' and source <> 'mirror'")
+
+
 def _powers(spark, sf_dir):
-    settled = upkeep.settled_jog(_flagged(spark, sf_dir), "foot", LAG)
-    return upkeep.run_power(sessions(spark, sf_dir), settled, records(spark, sf_dir).where("metric = 'purchase'"), 5, 40)
+    return upkeep.run_power(_outdoors(spark, sf_dir), _flagged(spark, sf_dir), records(spark, sf_dir).where("metric = 'purchase'"), 5, 40, "foot", LAG)
 
 
 @query(_bucket_sql() + POWER + "SELECT id, n_buckets, round(power, 6) AS power FROM runs")
@@ -106,7 +111,7 @@ def matched_power(spark, sf_dir):
 SELECT CAST(date_trunc('month', local_date) AS DATE) AS month, count(*) AS n_runs, CASE WHEN count(*) >= 2 THEN round(avg(power), 2) END AS power FROM alone GROUP BY 1"""
 )
 def monthly_power(spark, sf_dir):
-    return upkeep.monthly_power(sessions(spark, sf_dir), _powers(spark, sf_dir))
+    return upkeep.monthly_power(_outdoors(spark, sf_dir), _powers(spark, sf_dir))
 
 
 NEEDS = [("click", "view"), ("click", "purchase"), ("view", "view"), ("error", "error"), ("purchase", "purchase"), ("signup", "signup"), ("signup", "view")]

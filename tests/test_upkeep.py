@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pulsegrid.operators import upkeep
 
 DAY = dt.date(2024, 1, 5)
@@ -35,8 +37,15 @@ def test_marks_and_settling(spark):
 
 
 def test_power_waits_and_nested_runs_count_once(spark):
-    flags = spark.createDataFrame([(DAY, k, k != 4, 8.0) for k in (0, 1, 2, 3, 4, 5, 6, 8)], "local_date date, bkt long, is_jog boolean, pace double")
-    assert sorted(r.bkt for r in upkeep.settled_jog(flags, lag=2).collect()) == [2, 3]
+    flags = spark.createDataFrame([(DAY, k, k != 4, 8.0) for k in (0, 1, 2, 3, 4, 5, 6, 8, 9, 10)], "local_date date, bkt long, is_jog boolean, pace double")
+    spans = spark.createDataFrame([(1, 0, 400, DAY), (2, 20, 80, DAY), (3, 81, 140, DAY), (4, 100, 140, DAY)], "id long, start_s long, end_s long, local_date date")
+    settled = {(r.id, r.bkt) for r in upkeep.settled_in_runs(spans, flags, lag=2).collect()}
+    # 1: a jog after a walk has waited a bucket (6), after a gap none (10); 2: its block begins
+    # with the run, in the middle of the day's; 3 starts inside the walk, which isn't its own
+    assert settled == {(1, 2), (1, 3), (1, 6), (1, 10), (2, 3)}
+    assert {(r.id, r.bkt) for r in upkeep.settled_in_runs(spans, flags, lag=1).collect()} >= {(1, 5), (3, 6), (4, 6)}
+    watts = spark.createDataFrame([(DAY, 40, 100.0), (DAY, 45, 200.0), (DAY, 125, 400.0), (DAY, 200, 900.0)], "local_date date, start_s long, value double")
+    assert {r.id: (r.power, r.n_buckets) for r in upkeep.run_power(spans, flags, watts, 5, 9, lag=2).collect()} == {1: (pytest.approx((150 + 400 + 900) / 3), 3)}
     runs = spark.createDataFrame([(1, 0, 100, DAY), (2, 20, 80, DAY), (3, 0, 100, DAY), (4, 5000, 5100, dt.date(2024, 2, 1))], "id long, start_s long, end_s long, local_date date")
     powers = spark.createDataFrame([(1, 200.0), (2, 900.0), (3, 300.0), (4, 100.0)], "id long, power double")
     got = {r.month.month: (r.n_runs, r.power) for r in upkeep.monthly_power(runs, powers).collect()}
