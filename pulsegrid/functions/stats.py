@@ -21,17 +21,22 @@ def composite(parts: dict[str, float]) -> Column:
     return F.when(weight > 0, total / weight)
 
 
+#: Weight and exponent of the training impulse, the line of maximal heart rate
+#: by age, and the relative size of a float tail.
+IMPULSE, EXPONENT, MOST_AT_BIRTH, LESS_A_YEAR, TAIL = 0.64, 1.92, 208, 0.7, 4e-16
+
+
 def trimp(minutes: Column, mean_hr: Column, rest: Column | float, most: Column | float) -> Column:
     """Training impulse of a session: minutes, by how far heart rate rose to its maximum.
 
     Null unless the maximum is above the resting rate."""
     rest, most = (x if isinstance(x, Column) else F.lit(float(x)) for x in (rest, most))
     ratio = F.greatest(F.lit(0.0), F.try_divide(mean_hr - rest, most - rest))
-    return F.when(most > rest, minutes * ratio * 0.64 * F.exp(1.92 * ratio))
+    return F.when(most > rest, minutes * ratio * IMPULSE * F.exp(EXPONENT * ratio))
 
 
 def max_hr_from_age(age: Column) -> Column:
-    return 208 - 0.7 * age
+    return MOST_AT_BIRTH - LESS_A_YEAR * age
 
 
 def zone2_top(rest: Column, most: Column, fraction: float = 0.7) -> Column:
@@ -51,7 +56,7 @@ def canonical_share(value: Column) -> Column:
     return F.when((value >= 0) & (value <= 1), value * 100).otherwise(value)
 
 
-def snapped(value: Column, eps: float = 4e-16) -> Column:
+def snapped(value: Column, eps: float = TAIL) -> Column:
     """Whole numbers where a conversion left a float tail."""
     return F.when(F.abs(value - F.round(value)) <= eps * F.abs(value), F.round(value)).otherwise(value)
 

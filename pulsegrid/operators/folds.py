@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Least accuracy of a point in metres, seconds of smoothing, metres of climb
+#: that count, least points of a route, and seconds between chained segments.
 ACCURACY, SMOOTH_S, CLIMB, LEAST_POINTS, SEAM = 10.0, 15, 3.0, 10, 2
 
 

@@ -46,16 +46,9 @@ def best_overlap(items: DataFrame, parents: DataFrame, covered: float = COVERED)
     return fit.groupBy("item_id").agg(best.alias("b")).select("item_id", "b.*")
 
 
-def containers(sessions: DataFrame) -> DataFrame:
-    """Outermost session that strictly contains each session of the same kind and source."""
-    other = sessions.select(F.col("id").alias("container_id"), "kind", "source", F.col("start_s").alias("b0"), F.col("end_s").alias("b1"))
-    inside = sessions.join(other, ["kind", "source"]).where("id <> container_id and b0 <= start_s and b1 >= end_s and (b0 < start_s or b1 > end_s)")
-    best = F.min_by("container_id", F.struct("b0", (-F.col("b1")).alias("e"), "container_id"))
-    return inside.groupBy("id").agg(best.alias("container_id"))
-
-
 def hourly_containers(sessions: DataFrame) -> DataFrame:
-    """The same, with candidates met by the hour the inner session starts in."""
+    """Outermost session that strictly contains each session of the same kind and source;
+    candidates are met by the hour in which the inner session starts."""
     spans = sessions.select(F.col("id").alias("container_id"), "kind", "source", F.col("start_s").alias("b0"), F.col("end_s").alias("b1"), F.explode(F.sequence(F.floor(F.col("start_s") / 3600), F.floor(F.col("end_s") / 3600))).alias("hour"))
     inside = sessions.withColumn("hour", F.floor(F.col("start_s") / 3600)).join(spans, ["kind", "source", "hour"]).where("id <> container_id and b0 <= start_s and b1 >= end_s and (b0 < start_s or b1 > end_s)")
     best = F.min_by("container_id", F.struct("b0", (-F.col("b1")).alias("e"), "container_id"))
