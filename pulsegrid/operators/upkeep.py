@@ -156,3 +156,12 @@ def revisions(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
     so that it needs no numbering and agrees between loads, with counts and first use."""
     text = F.to_json(F.struct(*columns))
     return rows.groupBy(text.alias("revision")).agg(F.count("*").alias("n"), F.min(order).alias("first_id")).withColumn("revision_key", F.md5("revision"))
+
+
+def stale_days(derived: DataFrame, version: int, needs: DataFrame, records: DataFrame) -> DataFrame:
+    """Days on which some derived row has another version and all its sources are there."""
+    n_needs = needs.groupBy("metric").agg(F.count("*").alias("wanted"))
+    there = records.select(F.col("metric").alias("source_metric"), F.col("local_date").alias("date")).distinct()
+    old = derived.where(~F.col("version").eqNullSafe(version)).select("metric", "date").distinct()
+    met = old.join(needs, "metric").join(there, ["source_metric", "date"]).groupBy("metric", "date").agg(F.count("*").alias("found"))
+    return met.join(n_needs, "metric").where("found = wanted").select("date").distinct()

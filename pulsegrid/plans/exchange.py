@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import attachments, upkeep
 from pulsegrid.plans.registry import query, views
 from pulsegrid.sources import exports, sinks
 from pulsegrid.sources.adapters import DAILY_SHORT, RECORDS, SESSIONS, daily_short, records, sessions
-from pulsegrid.sources.shared import shared_path
+from pulsegrid.sources.shared import shared_path, written
 
 # Exports --------------------------------------------------------------------------
 
@@ -228,3 +229,86 @@ def source_months_frozen(spark, sf_dir):
     rows = records(spark, sf_dir).withColumn("month", F.trunc("local_date", "month"))
     count = lambda df: df.groupBy("metric", "month", "source").agg(F.count("*").alias("n"))
     return sinks.frozen_months(count(rows.where("source <> 'mirror'")), count(rows.where("source <> 'phone' or id % 2 = 0")), "2024-01-01")
+
+
+@query(
+    views(RECORDS)
+    + """, taken AS (SELECT * FROM records WHERE id % 5 < 3)
+SELECT 'samples' AS name, metric, count(*) AS n, round(sum(value), 4) AS total FROM taken GROUP BY metric UNION ALL SELECT 'daily', metric, count(*), round(sum(s), 4) FROM (SELECT metric, local_date, id % 5 AS b, sum(value) AS s FROM taken GROUP BY ALL) GROUP BY metric"""
+)
+def one_commit_tables(spark, sf_dir):
+    """Two tables that batches fill together: three are taken, one of them comes again, and
+    a fourth stops between the tables."""
+    rows = records(spark, sf_dir).select("id", "metric", "local_date", "value")
+    ledger = sinks.Ledger(spark, shared_path(spark, "ledger"), {"samples": "id long, metric string, local_date date, value double", "daily": "metric string, local_date date, value double"})
+
+    def batch(k):
+        own = rows.where(F.col("id") % 5 == k)
+        return {"samples": own, "daily": own.groupBy("metric", "local_date").agg(F.sum("value").alias("value"))}
+
+    for k in (0, 1, 1, 2):
+        ledger.take(f"b{k}", batch(k), f"part-{k}")
+    ledger.put("samples", batch(3)["samples"], "part-3")
+    sums = [ledger.read(t).groupBy("metric").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.lit(t).alias("name"), "metric", "n", "total") for t in ("samples", "daily")]
+    return sums[0].unionByName(sums[1])
+
+
+#: Sessions of even keys have uuids, and some climbs of their own; climbs come on their own
+#: for all, by uuid or by overlap, and some for sessions that aren't there.
+CHILDREN = """, parents AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'S' || id END AS uuid, source, start_s, end_s, CASE WHEN id % 5 = 0 THEN 100.0::DOUBLE END AS ascended, NULL::DOUBLE AS descended FROM sessions WHERE id % 7 <> 3),
+children AS (SELECT id + 7000000 AS id, CASE WHEN id % 2 = 0 THEN 'S' || id END AS uuid, source, start_s + CASE WHEN id % 2 = 0 THEN 90000 ELSE id % 11 * 30 END AS start_s, end_s + CASE WHEN id % 2 = 0 THEN 90000 ELSE 0 END AS end_s,
+  CASE WHEN id % 3 <> 0 THEN (id % 40)::DOUBLE END AS ascended, (id % 30)::DOUBLE AS descended FROM sessions),
+named AS (SELECT c.id AS child_id, min(p.id) AS parent_id FROM children c JOIN parents p USING (uuid) GROUP BY 1),
+lapping AS (SELECT c.id AS child_id, p.id AS parent_id, row_number() OVER (PARTITION BY c.id ORDER BY least(c.end_s, p.end_s) - greatest(c.start_s, p.start_s) DESC, c.source = p.source DESC, p.id) AS k
+  FROM children c ANTI JOIN named ON named.child_id = c.id JOIN parents p ON c.start_s < p.end_s AND p.start_s < c.end_s AND least(c.end_s, p.end_s) - greatest(c.start_s, p.start_s) >= 0.9 * (c.end_s - c.start_s) AND least(c.end_s, p.end_s) - greatest(c.start_s, p.start_s) >= 0.9 * (p.end_s - p.start_s)),
+matched AS (FROM named UNION ALL SELECT child_id, parent_id FROM lapping WHERE k = 1)
+"""
+
+
+def _families(spark, sf_dir):
+    spans, k = sessions(spark, sf_dir), F.col("id")
+    uuid = F.when(k % 2 == 0, F.concat(F.lit("S"), k.cast("string"))).alias("uuid")
+    parents = spans.where("id % 7 <> 3").select("id", uuid, "source", "start_s", "end_s", F.when(k % 5 == 0, 100.0).alias("ascended"), F.lit(None).cast("double").alias("descended"), F.lit(None).cast("string").alias("origin"))
+    far = F.when(k % 2 == 0, 90000)
+    children = spans.select((k + 7000000).alias("id"), uuid, "source", (F.col("start_s") + F.coalesce(far, k % 11 * 30)).alias("start_s"), (F.col("end_s") + F.coalesce(far, F.lit(0))).alias("end_s"), F.when(k % 3 != 0, (k % 40).cast("double")).alias("ascended"), (k % 30).cast("double").alias("descended"))
+    return written(parents, "parents"), written(children.unionByName(children), "children")
+
+
+@query(
+    views(RECORDS, SESSIONS)
+    + CHILDREN
+    + """, said AS (SELECT parent_id, arg_min(ascended, child_id) FILTER (ascended IS NOT NULL) AS up, arg_min(descended, child_id) FILTER (descended IS NOT NULL) AS down FROM matched JOIN children ON children.id = child_id GROUP BY 1)
+SELECT p.id, coalesce(p.ascended, up) AS ascended, coalesce(p.descended, down) AS descended, CASE WHEN (p.ascended IS NULL AND up IS NOT NULL) OR (p.descended IS NULL AND down IS NOT NULL) THEN 'device' END AS origin FROM parents p LEFT JOIN said ON parent_id = p.id"""
+)
+def climbs_attached(spark, sf_dir):
+    """Sessions with the climbs that came on their own, each of them twice."""
+    parents, children = _families(spark, sf_dir)
+    return attachments.attached(parents, children, ["ascended", "descended"]).select("id", "ascended", "descended", "origin")
+
+
+@query(views(RECORDS, SESSIONS) + CHILDREN + "SELECT id, start_s, end_s FROM children ANTI JOIN matched ON child_id = id")
+def climbs_waiting(spark, sf_dir):
+    """Climbs whose session has not come yet."""
+    return attachments.orphans(*_families(spark, sf_dir)).select("id", "start_s", "end_s")
+
+
+@query(
+    views(RECORDS, DAILY_SHORT)
+    + """, needs(metric, source_metric) AS (VALUES ('click', 'view'), ('click', 'purchase'), ('view', 'view'), ('error', 'error')),
+derived AS (SELECT metric, date + 25 AS date, CASE WHEN day(date) % 3 = 0 THEN 2 ELSE 1 END AS version, sum AS value FROM daily WHERE metric IN ('click', 'view', 'error')),
+stale AS (SELECT DISTINCT d.date FROM derived d WHERE version <> 2 AND NOT EXISTS (SELECT 1 FROM needs n WHERE n.metric = d.metric AND NOT EXISTS (SELECT 1 FROM records r WHERE r.metric = n.source_metric AND r.local_date = d.date)))
+SELECT d.metric, d.date AS local_date, CASE WHEN s.date IS NOT NULL THEN 2 ELSE version END AS version, CASE WHEN s.date IS NOT NULL THEN -value ELSE value END AS value FROM derived d LEFT JOIN stale s ON s.date = d.date"""
+)
+def rederived_table(spark, sf_dir):
+    """A table of derived values of which only the days with another formula version, and
+    with their sources there, were written again."""
+    needs = spark.createDataFrame([("click", "view"), ("click", "purchase"), ("view", "view"), ("error", "error")], "metric string, source_metric string")
+    days = daily_short(spark, sf_dir).where("metric in ('click', 'view', 'error')")
+    derived = days.select("metric", F.date_add("date", 25).alias("local_date"), F.when(F.dayofmonth("date") % 3 == 0, 2).otherwise(1).alias("version"), F.col("sum").alias("value"))
+    table = sinks.DayTable(spark, shared_path(spark, "derived"), "metric string, local_date date, version int, value double")
+    table.create(derived)
+    stale = upkeep.stale_days(table.read().withColumnRenamed("local_date", "date"), 2, needs, records(spark, sf_dir))
+    stale = written(stale.withColumnRenamed("date", "local_date"), "stale")
+    again = table.read().join(stale, "local_date", "left_semi").select("metric", "local_date", F.lit(2).alias("version"), (-F.col("value")).alias("value"))
+    table.replace(again, stale, shared_path(spark, "staging"))
+    return table.read()

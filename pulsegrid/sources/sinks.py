@@ -83,3 +83,42 @@ class DayTable:
         live.unionByName(emptied, allowMissingColumns=True).write.mode("overwrite").parquet(staging)
         held = self.spark.read.schema(f"{self.schema}, live boolean").parquet(staging)
         held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date").parquet(self.path)
+
+    def replace(self, rows: DataFrame, days: DataFrame, staging: str) -> None:
+        """All rows of the given days, and no others, are written again."""
+        self._swap(rows, days, staging)
+
+
+class Ledger:
+    """Several Parquet tables that take a batch together or not at all.
+
+    A batch writes its rows into a folder of its own in every table; the last thing it
+    writes is a row of the ledger.  Only what the ledger names is read: a writer that stops
+    half-way leaves nothing to be seen, and a batch whose key is there is not taken again."""
+
+    ENTRY = "batch_key string, part string"
+
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str]):
+        self.spark, self.path, self.schemas = spark, path, schemas
+        spark.createDataFrame([], self.ENTRY).write.mode("append").parquet(f"{path}/ledger")
+        for name, schema in schemas.items():
+            spark.createDataFrame([], f"{schema}, part string").write.mode("append").parquet(f"{path}/{name}")
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.schema(self.ENTRY).parquet(f"{self.path}/ledger")
+
+    def take(self, batch_key: str, tables: dict[str, DataFrame], part: str) -> bool:
+        """Writes a batch under the name ``part``; False, and nothing written, for a known key."""
+        if not self.entries().where(F.col("batch_key") == batch_key).isEmpty():
+            return False
+        for name, rows in tables.items():
+            self.put(name, rows, part)
+        self.spark.createDataFrame([(batch_key, part)], self.ENTRY).coalesce(1).write.mode("append").parquet(f"{self.path}/ledger")
+        return True
+
+    def put(self, name: str, rows: DataFrame, part: str) -> None:
+        rows.withColumn("part", F.lit(part)).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        rows = self.spark.read.schema(f"{self.schemas[name]}, part string").parquet(f"{self.path}/{name}")
+        return rows.join(self.entries().select("part").distinct(), "part", "left_semi").drop("part")

@@ -73,3 +73,40 @@ def test_fill_append_and_frozen_counts(spark):
     stored = spark.createDataFrame([("m", month(1), "w", 10), ("m", month(2), "w", 10)], "metric string, month date, source string, n long")
     counted = spark.createDataFrame([("m", month(1), "w", 4), ("m", month(2), "w", 4)], stored.schema)
     assert sorted(r.n for r in sinks.frozen_months(stored, counted, "2024-01-31").collect()) == [4, 10]
+
+
+def test_children_attach_in_any_order_of_batches(spark):
+    import itertools
+
+    from pulsegrid.operators import attachments
+
+    parents = [(1, "a", "w", 0, 1000, 5.0, None, None), (2, None, "w", 5000, 6000, None, None, None), (3, "c", "w", 9000, 9900, None, None, "route")]
+    kids = [(11, "a", "w", 70_000, 71_000, 7.0, 2.0), (12, None, "w", 5010, 6000, 3.0, None), (13, None, "p", 5000, 5990, 4.0, 1.0), (14, "zz", "w", 30_000, 31_000, 8.0, 8.0), (15, None, "w", 9000, 9100, 9.0, 9.0)]
+    p = "id long, uuid string, source string, start_s long, end_s long, ascended double, descended double, origin string"
+    c = "id long, uuid string, source string, start_s long, end_s long, ascended double, descended double"
+    want = None
+    for some, order in itertools.product((parents, parents[::-1]), (kids, kids[::-1], kids + kids[:3])):
+        a, b = spark.createDataFrame(some, p), spark.createDataFrame(order, c)
+        got = (sorted(map(tuple, attachments.attached(a, b, ["ascended", "descended"]).collect()), key=repr), sorted(r.id for r in attachments.orphans(a, b).collect()))
+        want = want or got
+        assert got == want
+    assert want[0] == sorted([(1, "a", "w", 0, 1000, 5.0, 2.0, "device"), (2, None, "w", 5000, 6000, 3.0, 1.0, "device"), (3, "c", "w", 9000, 9900, None, None, "route")], key=repr)
+    assert want[1] == [14, 15]
+    # an orphan is taken up when its session comes
+    later = spark.createDataFrame([*parents, (4, "zz", "w", 1, 2, None, None, None)], p)
+    assert [r.id for r in attachments.orphans(later, spark.createDataFrame(kids, c)).collect()] == [15]
+    derived = spark.createDataFrame([(1, 50.0, 50.0, 99), (2, 10.0, 11.0, 10), (3, 1.0, 1.0, 9)], "id long, ascended double, descended double, n_used long")
+    basis = {r.id: (r.ascended, r.descended, r.basis) for r in attachments.climbs(later.select("id", "ascended", "descended"), derived).collect()}
+    assert basis == {1: (5.0, None, "device"), 2: (10.0, 11.0, "route"), 3: (None, None, "too_few_points"), 4: (None, None, "no_route")}
+
+
+def test_a_batch_is_taken_by_all_tables_or_none(spark, tmp_path):
+    ledger = sinks.Ledger(spark, f"file://{tmp_path}/t", {"a": "x long", "b": "y long"})
+    rows = lambda name, *v: spark.createDataFrame([(k,) for k in v], f"{name} long")
+    held = lambda: ([r.x for r in ledger.read("a").orderBy("x").collect()], [r.y for r in ledger.read("b").orderBy("y").collect()])
+    assert held() == ([], [])
+    assert ledger.take("k1", {"a": rows("x", 1, 2), "b": rows("y", 3)}, "p1") and held() == ([1, 2], [3])
+    assert not ledger.take("k1", {"a": rows("x", 9), "b": rows("y", 9)}, "p2") and held() == ([1, 2], [3])
+    ledger.put("a", rows("x", 7), "p3")  # a writer that stops before the second table
+    assert held() == ([1, 2], [3])
+    assert ledger.take("k3", {"a": rows("x", 7), "b": rows("y", 8)}, "p4") and held() == ([1, 2, 7], [3, 8])
