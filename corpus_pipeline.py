@@ -9,12 +9,17 @@ from pulsegrid.llm import dartminhash, fmindex, packing, paragraphs, quality, st
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts are scored like any other; equal texts share their score, so
+    repeated rows stay or go together."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near-duplicates."""
+    """One document of every class of near-duplicates, the one with the smallest doc_id.
+
+    Null and wordless texts all stay; of repeated rows one stays."""
     return dartminhash.deduplicated(docs)
 
 
@@ -31,12 +36,16 @@ def new_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents that are not contaminated by benchmark items, with all columns as they came.
+
+    Null and empty texts stay; repeated rows are judged one by one."""
     return fmindex.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 token ids."""
+    """Pieces of documents in sequences of 2048 token ids.
+
+    Null is the empty text, of one token; repeated rows are packed one by one."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

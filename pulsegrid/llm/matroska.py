@@ -325,7 +325,10 @@ def feature(media: Media, payload: bytes) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: sizes, hashes and features of the stored and reread media."""
+    """One row per document: sizes, hashes and features of the stored and reread media.
+
+    Null is the empty text, which is stored as one block of blanks; equal texts give equal
+    values; repeated rows are stored one by one, and other columns are not looked at."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def one(batches):

@@ -193,7 +193,10 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """One row per assistant turn with a text: how its call was linked, ordered and judged."""
+    """One row per assistant turn with a text: how its call was linked, ordered and judged.
+
+    Turns without a text make no call, and none is their result; a repeated turn is a
+    repeated call, which ``link`` tells; an empty table has no calls."""
     calls, results = from_conversations(turns)
     rows = link(calls, results, schema_table(turns.sparkSession))
     return rows.select("conv_id", "call_id", "turn", "tool", "level", "state", "result_turn", F.array_join("errors", ",").alias("errors"), F.array_join("dangling", ",").alias("dangling"), F.sha2("canonical", 256).alias("canonical_sha256"))

@@ -342,6 +342,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def digest(pages: DataFrame, path: str) -> DataFrame:
-    """Writes all pages to archives under ``path`` and returns what the archives say."""
+    """Writes all pages to archives under ``path`` and returns what the archives say.
+
+    Null is the empty page; of equal payloads the smallest page_id is the response and the
+    others revisit it; repeated rows are records of their own; other columns don't matter."""
     write(pages, path)
     return read(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
