@@ -18,6 +18,26 @@ def halves(buckets: DataFrame, flag: str) -> DataFrame:
     return out.withColumn("change_pct", F.when(F.col("first_half") != 0, F.round((F.col("second_half") - F.col("first_half")) * 100 / F.col("first_half"), 2)))
 
 
+#: Fixed value: comparable sessions below which there is no reference.
+LEAST_SESSIONS = 5
+
+
+def reference(changes: DataFrame, keys: list[str], excluded: Column | None = None) -> DataFrame:
+    """The usual range of ``change_pct`` by key: median, tenth and ninetieth percentile, and
+    the smallest change that stands out, two standard errors of the mean.
+
+    Nulls don't count.  ``excluded`` marks rows that are to be held against a range which
+    they didn't help to make.  A key with fewer than LEAST_SESSIONS keeps its row and says so."""
+    held = F.col("change_pct").isNotNull() if excluded is None else F.col("change_pct").isNotNull() & ~excluded
+    value = F.when(held, F.col("change_pct"))
+    out = changes.groupBy(*keys).agg(F.count(value).alias("n_sessions"), F.percentile(value, [0.1, 0.5, 0.9]).alias("p"), F.stddev_samp(value).alias("sd"))
+    enough = F.col("n_sessions") >= LEAST_SESSIONS
+    tell = lambda c: F.when(enough, r(c, 4))
+    return out.select(
+        *keys, F.when(enough, "ok").otherwise("insufficient_sessions").alias("status"), "n_sessions", tell(F.get("p", 1)).alias("median"), tell(F.get("p", 0)).alias("p10"), tell(F.get("p", 2)).alias("p90"), tell(2 * F.col("sd") / F.sqrt(F.greatest(F.lit(1), F.col("n_sessions")))).alias("least_change")
+    )
+
+
 def bouts(buckets: DataFrame, flag: str) -> DataFrame:
     """Rising edges and buckets of a flag by day, in the order of the buckets at hand."""
     order = Window.partitionBy("local_date").orderBy("bkt")

@@ -386,9 +386,18 @@ def cosinor(spark, sf_dir):
     return folds.cosinor(records(spark, sf_dir), "metric")
 
 
-@query()
+@query(
+    views(RECORDS, SESSIONS).replace("WITH", "WITH RECURSIVE", 1)
+    + """, seg AS (SELECT source, local_date, id, start_s, end_s, row_number() OVER (PARTITION BY source, local_date ORDER BY start_s, end_s, id) AS i FROM sessions),
+f AS (SELECT source, local_date, i, [end_s] AS ends, CAST(1 AS BIGINT) AS chain FROM seg WHERE i = 1 UNION ALL
+  SELECT source, local_date, i, CASE WHEN k IS NULL THEN list_append(ends, end_s) ELSE list_transform(range(1, len(ends) + 1), lambda j: CASE WHEN j = k THEN greatest(ends[j], end_s) ELSE ends[j] END) END, coalesce(k, len(ends) + 1)
+  FROM (SELECT s.source, s.local_date, s.i, s.end_s, f.ends, list_sort(list_transform(list_filter(range(1, len(f.ends) + 1), lambda j: f.ends[j] <= s.start_s + 2), lambda j: struct_pack(d := abs(s.start_s - f.ends[j]), k := j)))[1].k AS k
+    FROM f JOIN seg s ON s.source = f.source AND s.local_date = f.local_date AND s.i = f.i + 1)),
+c AS (SELECT source, local_date, chain, row_number() OVER (PARTITION BY source, local_date ORDER BY round(sum((end_s - start_s) / 60), 2) DESC, count(*) DESC, chain) - 1 AS place FROM f JOIN seg USING (source, local_date, i) GROUP BY 1, 2, 3)
+SELECT source, local_date, id, start_s, end_s, place AS chain FROM f JOIN seg USING (source, local_date, i) JOIN c USING (source, local_date, chain)"""
+)
 def segment_chains(spark, sf_dir):
-    """Without an SQL form: what a segment joins depends on all joins before."""
+    """Sessions of a source and day in chains; the SQL carries the chains' ends along."""
     return folds.segment_chains(sessions(spark, sf_dir), ["source", "local_date"])
 
 

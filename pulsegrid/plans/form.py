@@ -26,6 +26,22 @@ def run_form_halves(spark, sf_dir):
     return form.halves(_flagged(spark, sf_dir), "foot")
 
 
+@query(
+    _bucket_sql()
+    + FOOT
+    + """, k AS (SELECT *, row_number() OVER (PARTITION BY local_date ORDER BY bkt) AS k, count(*) OVER (PARTITION BY local_date) AS n FROM foot WHERE f),
+a AS (SELECT local_date, round(avg(pace) FILTER (k <= n // 2), 4) AS x, round(avg(pace) FILTER (k > n // 2), 4) AS y FROM k GROUP BY 1),
+c AS (SELECT CAST(date_trunc('week', local_date) AS DATE) AS week, CASE WHEN x <> 0 AND day(local_date) % 9 <> 4 THEN round((y - x) * 100 / x, 2) END AS v FROM a),
+g AS (SELECT week, count(v) AS n_sessions, median(v) AS m, quantile_cont(v, 0.1) AS lo, quantile_cont(v, 0.9) AS hi, stddev_samp(v) AS sd FROM c GROUP BY 1)
+SELECT week, CASE WHEN n_sessions >= 5 THEN 'ok' ELSE 'insufficient_sessions' END AS status, n_sessions, CASE WHEN n_sessions >= 5 THEN round(m, 4) END AS median, CASE WHEN n_sessions >= 5 THEN round(lo, 4) END AS p10,
+  CASE WHEN n_sessions >= 5 THEN round(hi, 4) END AS p90, CASE WHEN n_sessions >= 5 THEN round(2 * sd / sqrt(n_sessions), 4) END AS least_change FROM g"""
+)
+def personal_reference(spark, sf_dir):
+    """The usual change of pace inside a day, by week, without the days that are judged by it."""
+    changes = form.halves(_flagged(spark, sf_dir), "foot").withColumn("week", F.to_date(F.trunc("local_date", "week")))
+    return form.reference(changes, ["week"], F.dayofmonth("local_date") % 9 == 4)
+
+
 @query(_bucket_sql() + FOOT + ", e AS (SELECT *, f AND NOT coalesce(lag(f) OVER (PARTITION BY local_date ORDER BY bkt), false) AS edge FROM foot) SELECT local_date, count(*) FILTER (edge) AS n_bouts, count(*) FILTER (f) AS n_buckets FROM e GROUP BY 1")
 def walk_structure(spark, sf_dir):
     return form.bouts(_flagged(spark, sf_dir), "foot")

@@ -110,3 +110,13 @@ def test_late_rows_are_refused_not_lost(spark):
     frame = spark.createDataFrame([(1, dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 9))], "id long, local_date date")
     good, late = stream.refuse_late(frame, "2024-01-05")
     assert [r.id for r in good.collect()] == [2] and [(r.id, r.reason) for r in late.collect()] == [(1, "behind_watermark")]
+
+
+def test_reference_needs_sessions_and_leaves_the_judged_one_out(spark):
+    from pulsegrid.operators import form
+
+    rows = [("a", float(k)) for k in range(1, 7)] + [("a", None), ("a", 900.0), ("b", 1.0)]
+    got = {r.who: r for r in form.reference(spark.createDataFrame(rows, "who string, change_pct double"), ["who"], F.col("change_pct") == 900).collect()}
+    assert (got["a"].status, got["a"].n_sessions, got["a"].median, got["a"].p10, got["a"].p90) == ("ok", 6, 3.5, 1.5, 5.5)
+    assert abs(got["a"].least_change - 2 * 1.870829 / 6**0.5) < 1e-3
+    assert (got["b"].status, got["b"].n_sessions, got["b"].median) == ("insufficient_sessions", 1, None)
