@@ -27,8 +27,8 @@ def test_licences(spark):
 
 
 def test_gate_and_expression(spark):
-    asked = spark.createDataFrame([(1, "How did I sleep?"), (2, "stocks"), (3, ""), (4, None), (1, "again")], "id long, text string")
-    known = spark.createDataFrame([("sleep",), ("sleep",)], "term string")
+    asked = spark.createDataFrame([(1, "How was my sleeping?"), (2, "stocks"), (3, ""), (4, None), (1, "again")], "id long, text string")
+    known = spark.createDataFrame([("sleep",), ("sleep",)], "stem string")
     assert {r.id: r.in_domain for r in evidence.in_domain(asked, ["id"], known).collect()} == {1: True, 2: False, 3: False, 4: False}
     assert not evidence.in_domain(asked, ["id"], known.limit(0)).where("in_domain").count()
     assert one(spark, evidence.match_expression(F.lit('VO2 "max" 1.6'))) == '"vo2" OR "max" OR "1" OR "6"'
@@ -40,7 +40,9 @@ def test_span_around_the_first_hit(spark):
     assert one(spark, evidence.span_around(F.lit(body.replace("w100", "(W100),")), ["w100"])).split()[0] == "w84"
     assert one(spark, evidence.span_around(F.lit(body), ["w199"])).split()[0] == "w136"
     assert one(spark, evidence.span_around(F.lit(body), ["none"])).split()[-1] == "w63"
-    assert one(spark, evidence.span_around(F.lit(" two  words "), ["none"])) == "two words"
+    # an exact slice of the body, and the first word whose stem is asked for
+    assert one(spark, evidence.span_around(F.lit(" two  words\n\tand more "), ["none"])) == "two  words\n\tand more"
+    assert one(spark, evidence.span_around(F.lit(body.replace("w100", "Runnings!")), ["run"])).split()[16] == "Runnings!"
     assert one(spark, evidence.span_around(F.lit(""), ["none"])) == ""
 
 
