@@ -1,6 +1,7 @@
 """Literal cases of the operators that are most easily got wrong."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def test_arbitration_inside_sessions(spark):
     assert sorted(r.id for r in arbitration.session_losers(frame, spans).collect()) == [1, 2]
 
 
+def test_session_losers_equal_all_pairs_without_meeting_them(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice(["phone", "watch", "mirror", "other", None]), rng.choice([None, *(rng.randrange(-7200, 40000, 50) for _ in range(20))])) for k in range(300)]
+    starts = [rng.randrange(-7200, 40000, 50) for _ in range(60)]
+    held = [(k, s, s + rng.choice([-50, 0, 50, 100, 600, 2000, 9000])) for k, s in enumerate(starts)] + [(99, None, 5), (98, 5, None)]
+    frame = spark.createDataFrame(rows, "id long, metric string, source string, start_s long")
+    got = arbitration.session_losers(frame, spark.createDataFrame(held, "id long, start_s long, end_s long"))
+    beats = {"phone": ("watch", "mirror"), "watch": ("mirror",)}
+    inside = lambda t, s, e: None not in (t, s, e) and s <= t < e
+    want = {i for i, m, src, t in rows for _, s, e in held if m and inside(t, s, e) and any(m == m2 and src2 in beats.get(src, ()) and inside(t2, s, e) for _, m2, src2, t2 in rows)}
+    assert sorted(r.id for r in got.collect()) == sorted(want) and 20 < len(want) < 200
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_meal_macros_are_null_if_one_item_lacks_them(spark):
     foods = spark.createDataFrame([(1, 100.0, 5.0), (2, 50.0, None)], "item long, kcal double, protein double")
     items = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 1.0), ("b", 1, 1.0), ("c", 2, 0.0)], "meal string, item long, servings double")
