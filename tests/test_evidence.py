@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import labels
-from pulsegrid.operators import evidence
+from pulsegrid.operators import evidence, retrieval
 
 DAY = dt.date(2024, 1, 1)
 
@@ -86,3 +86,19 @@ def test_names_and_figures(spark):
     match = lambda token, value: one(spark, labels.rounds_to(F.lit(token), F.lit(value)))
     assert [match("3", 3.18), match("3.0", 3.18), match("3.2.", 3.18), match("1,200", 1200.4), match("0", 0.3), match("0", 0.0), match("x", 1.0)] == [True, False, True, True, False, True, False]
     assert [one(spark, labels.swim_metres(F.lit(x))) for x in (0.932056788, None)] == [1500, None]
+
+
+def test_words_stay_in_their_rows(spark):
+    rows = [(1, "ponies pony cats"), (1, "pony cat"), (2, "cats"), (None, "cat"), (None, "cats")]
+    chunked = spark.createDataFrame(rows, "doc_id long, body string")
+    counted = retrieval.stem_frequency(chunked)
+    assert {r.stem: r.df for r in counted.collect()} == {"poni": 1, "cat": 3}
+    assert "Join" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    scored = retrieval.bm25(chunked.where("doc_id is not null").withColumn("k", F.monotonically_increasing_id()), ["k"], ["poni", "cat"])
+    assert scored.count() == 3
+    scored.collect()
+    # the words are looked for once, for the scores and for the frequencies
+    assert "ReusedExchange" in scored._jdf.queryExecution().executedPlan().toString()
+    spans = chunked.select(evidence.span_around(F.col("body"), ["poni"], 1, 0).alias("s"))
+    assert sorted(r.s for r in spans.collect()) == ["cat", "cats", "cats", "ponies", "pony"]
+    assert "ArrowEvalPython" in spans._jdf.queryExecution().executedPlan().toString()

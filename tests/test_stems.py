@@ -53,3 +53,11 @@ def test_sql_agrees(spark, words):
     assert dict(got) == want and len(got) == len(words)
     # what the cheap test of a word rests on
     assert all(w.startswith(s[:-1]) for w, s in got)
+
+
+def test_words_in_rows_agree(spark, words):
+    assert {w: stems.stem_of(w) for w in words} == {r.term: r.stem for r in stems.stem_table(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+    rows = [(1, ["ponies", None, "cats", "ponies"]), (2, None), (3, []), (4, ["x" * 70, "by"])]
+    frame = spark.createDataFrame(rows, "id long, t array<string>").where("id > 0")
+    got = {r.id: r.s for r in frame.select("id", stems.stems_of("t").alias("s")).collect()}
+    assert got == {1: ["poni", None, "cat", "poni"], 2: None, 3: [], 4: ["x" * 70, "by"]}
