@@ -77,17 +77,18 @@ def settled_in_runs(runs: DataFrame, buckets: DataFrame, flag: str = "is_jog", l
 
     Only the run's own window is looked at: a block that it starts in begins there.  A
     flagged bucket right after one without the flag has waited one bucket already; after a
-    gap, or first in the run, it hasn't waited at all."""
+    gap, or first in the run, it hasn't waited at all.  A bucket after midnight may have a row
+    of each day; the earlier day's comes first, so that reruns agree."""
     first, last = F.ceil(F.col("start_s") / BUCKET), F.ceil(F.col("end_s") / BUCKET) - 1
     laid = runs.where(last >= first).select("id", F.explode(F.sequence(first, last)).alias("bkt"))
     own = laid.join(buckets.select("local_date", "bkt", "pace", F.col(flag).alias("on")), "bkt")
-    run = Window.partitionBy("id").orderBy("bkt")
+    run, upto = Window.partitionBy("id").orderBy("bkt", "local_date"), Window.partitionBy("id").orderBy("bkt")
     beside = F.coalesce(F.lag("bkt").over(run) == F.col("bkt") - 1, F.lit(False))
     opens = F.col("on") & ~(beside & F.coalesce(F.lag("on").over(run), F.lit(False)))
-    marked = own.withColumns({"opens": opens, "waited": F.when(opens & beside, 1).otherwise(0)})
-    block = marked.withColumn("block", F.count_if("opens").over(run)).where("on")
-    whole = Window.partitionBy("id", "block")
-    elapsed = F.col("bkt") - F.min("bkt").over(whole) + F.max("waited").over(whole)
+    block = own.withColumns({"opens": opens, "beside": beside}).withColumn("block", F.count_if("opens").over(upto)).where("on")
+    # the rows of one bucket are in one block, which waits by the first of them
+    waited = F.first("beside").over(Window.partitionBy("id", "block").orderBy("bkt", "local_date")).cast("int")
+    elapsed = F.col("bkt") - F.min("bkt").over(Window.partitionBy("id", "block")) + waited
     return block.withColumn("elapsed", elapsed).where(F.col("elapsed") >= lag).select("id", "local_date", "bkt", "pace")
 
 

@@ -1,10 +1,13 @@
 """Literal cases of watermarks, marks, enrichment, power by month and stale derivations."""
 
 import datetime as dt
+import random
 
+import duckdb
 import pytest
 
 from pulsegrid.operators import upkeep
+from pulsegrid.plans.upkeep import POWER
 
 DAY = dt.date(2024, 1, 5)
 
@@ -65,3 +68,30 @@ def test_reconciled_days_reach_back_for_heart_rate(spark):
     touched = spark.createDataFrame([("heart", DAY), ("steps", dt.date(2024, 1, 9)), ("heart", None)], "metric string, local_date date")
     none = spark.createDataFrame([], "local_date date")
     assert sorted(r.local_date.day for r in upkeep.days_to_reconcile(touched, none, "heart").collect()) == [4, 5, 9]
+
+
+def test_a_bucket_of_two_days_waits_as_in_sql_with_the_earlier_day_first(spark):
+    rng = random.Random(4)
+    held, next_day = [], DAY + dt.timedelta(1)
+    for k in range(400):
+        on = rng.random() < 0.8
+        if rng.random() < 0.9:
+            held += [(d, k, on, 8.0) for d in ((DAY, next_day) if rng.random() < 0.3 else (DAY,))]
+    spans = [(k, s, s + rng.randrange(20, 900), DAY, "run", "watch") for k, s in enumerate(rng.randrange(0, 8000) for _ in range(40))]
+    flags = spark.createDataFrame(held, "local_date date, bkt long, is_jog boolean, pace double")
+    runs = spark.createDataFrame(spans, "id long, start_s long, end_s long, local_date date, kind string, source string")
+    con = duckdb.connect()
+    con.execute("create table sessions (id bigint, start_s bigint, end_s bigint, local_date date, kind varchar, source varchar)")
+    con.execute("create table classified (local_date date, bkt bigint, is_jog boolean, pace double, is_walk boolean default false)")
+    con.executemany("insert into sessions values (?, ?, ?, ?, ?, ?)", spans)
+    con.executemany("insert into classified (local_date, bkt, is_jog, pace) values (?, ?, ?, ?)", held)
+    rng.shuffle(held)
+    # the SQL leaves open which of a bucket's rows comes first
+    closed = POWER[: POWER.index(",\npw AS")].lstrip(", ").replace("ORDER BY c.bkt)", "ORDER BY c.bkt, c.local_date)").replace("OVER (b ORDER BY bkt)", "OVER (b ORDER BY bkt, local_date)")
+    assert closed.count(", local_date)") == 1 and closed.count(", c.local_date)") == 1
+    want = con.execute("WITH " + closed + " SELECT id, local_date, bkt FROM waits WHERE elapsed >= 1").fetchall()
+    got = [(r.id, r.local_date, r.bkt) for r in upkeep.settled_in_runs(runs, flags, lag=1).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    # 3, 4 and 4 again: the second row of 4 opens a block for both, right beside 3
+    small = spark.createDataFrame([(DAY, 3, True, 8.0), (DAY, 4, True, 8.0), (next_day, 4, True, 8.0)], "local_date date, bkt long, is_jog boolean, pace double")
+    assert upkeep.settled_in_runs(runs.limit(1).selectExpr("id", "0L as start_s", "400L as end_s", "local_date"), small, lag=1).count() == 2
