@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsegrid.llm.components import components
 from pulsegrid.llm.storage import dropped, written
-from pulsegrid.llm.text import Rolling, fold, mix, ragged, raw_strings, runs, words
+from pulsegrid.llm.text import Rolling, fold, in_runs, mix, ragged, raw_strings, runs, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -136,7 +136,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """Sorted 32-bit hashes of each text's shingles, the n-th repeat told from the first."""
 
     def one(batches):
-        for batch in batches:
+        for batch in in_runs(batches, 1):
             data, offsets = raw_strings(batch.column(1))
             out = []
             for i, j in runs(offsets):

@@ -27,7 +27,8 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 MERGED_PARTITIONS = 64
 END_ID = 1
-CACHED_CHUNKS = 600_000
+#: Chunks that a tokenizer remembers at most; beyond that it keeps the KEPT_CHUNKS it met first.
+CACHED_CHUNKS, KEPT_CHUNKS = 200_000, 100_000
 
 #: Characters that tokenizers and Python may not both take for white space, and the start of a special token.
 _UNSURE = re.compile("<\\||[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u3000\\ufeff]")
@@ -54,6 +55,11 @@ class _Numbering(dict):
         number = self[key] = len(self)
         return number
 
+    def first(self, n: int) -> _Numbering:
+        kept = _Numbering()
+        kept.update(itertools.islice(self.items(), n))
+        return kept
+
 
 class _ByteNames(dict):
     """How a byte-level pre-tokenizer writes a character, by code point."""
@@ -83,6 +89,10 @@ class _Ragged:
         self.at[self.n + 1 : self.n + n + 1] = used + np.cumsum(sizes)
         self.n += n
 
+    def keep(self, n: int) -> None:
+        self.n = min(self.n, n)
+        self.ids, self.at = self.ids[: self.at[self.n]].copy(), self.at[: self.n + 1].copy()
+
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.at[numbers + 1] - self.at[numbers]
         return self.ids[ragged(self.at[numbers], sizes)], sizes
@@ -138,6 +148,13 @@ class ChunkTokenizer:
         self.number, self.chunks = _Numbering(), _Ragged()
         self.piece, self.pieces = _Numbering(), _Ragged()
 
+    def forget_late(self) -> None:
+        """Forgets what was met late: frequent words are met early, and most of the rest,
+        such as numbers and addresses, never comes again."""
+        self.number, self.piece = self.number.first(KEPT_CHUNKS), self.piece.first(KEPT_CHUNKS)
+        self.chunks.keep(KEPT_CHUNKS)
+        self.pieces.keep(KEPT_CHUNKS)
+
     def _learn(self) -> None:
         """Ids of the chunks that were numbered but not yet encoded."""
         chunks, self.number.new = self.number.new, []
@@ -164,7 +181,7 @@ class ChunkTokenizer:
         else:
             whole = [not self.by_chunk or _UNSURE.search(t) is not None or _MARK in t for t in texts]
         if len(self.number) > CACHED_CHUNKS:
-            self.forget()
+            self.forget_late()
         split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
         n_chunks = np.fromiter(map(len, split), np.int64, len(split))
         number = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(n_chunks.sum()))

@@ -31,7 +31,7 @@ from pulsegrid.llm.dartminhash import linked
 from pulsegrid.llm.skew import met
 from pulsegrid.llm.storage import dropped, written
 from pulsegrid.llm.suffixes import KEYS, keyed, sliding_min
-from pulsegrid.llm.text import Rolling, fold, mix, ragged, raw_strings, runs, words
+from pulsegrid.llm.text import Rolling, fold, in_runs, mix, ragged, raw_strings, runs, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -173,7 +173,7 @@ def _line_sets(joined: DataFrame) -> DataFrame:
     """Sorted 32-bit hashes of the different shingles of the lines that are asked for."""
 
     def one(batches):
-        for batch in batches:
+        for batch in in_runs(batches, 0):
             data, offsets = raw_strings(batch.column(0))
             asked = batch.column(1).to_pylist()
             nodes, sets = [], []
@@ -197,7 +197,7 @@ def _tiles(joined: DataFrame) -> DataFrame:
     schema = pa.schema([("to_key", pa.int64()), ("to_id", pa.int64()), ("tile", pa.int32()), ("n", pa.int64()), ("words", pa.binary())])
 
     def one(batches):
-        for batch in batches:
+        for batch in in_runs(batches, 2):
             data, offsets = raw_strings(batch.column(2))
             row_key, row_id, asked = (batch.column(k).to_pylist() for k in (0, 1, 3))
             rows = []
@@ -545,7 +545,7 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def one(batches):
-        for batch in batches:
+        for batch in in_runs(batches, 1):
             kept, spans, sizes = _cut(batch.column(1), batch.column(2), **options)
             columns = [pa.array(sizes, pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -564,7 +564,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     at = names.index("text")
 
     def one(batches):
-        for batch in batches:
+        for batch in in_runs(batches, at):
             kept, _, _ = _cut(batch.column(at), batch.column(len(names) + 1), **options)
             void = batch.column(len(names)).to_pylist()
             text = pa.array([None if v else t.decode() for t, v in zip(kept, void, strict=True)], pa.string())
