@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from pulsegrid.llm import dartminhash, packing, paragraphs, text
+from pulsegrid.llm import dartminhash, packing, paragraphs, suffixes, text
 
 
 class _Rows:
@@ -55,6 +55,28 @@ def test_slices_hold_runs_of_texts():
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(2).to_pylist()) <= text.RUN_BYTES for p in parts)
 
 
+def test_suffix_steps_take_a_batch_in_slices(monkeypatch):
+    texts = [*_texts(8 << 20), "", None, "short"]
+    keys = pa.array(np.arange(len(texts)))
+    held = [[{"anchor": k, "stretch": j, "n": 1, "low": 300 * j, "high": 300 * j + 60, "at": 300 * j + 200} for j in range(8)] if len(t or "") > 3000 else [] for k, t in enumerate(texts)]
+    starts = [[{"low": h["low"], "high": h["high"]} for h in x] or None for x in held]
+    cut = suffixes._cut_contexts(_Rows(), suffixes.LENGTH)
+    monkeypatch.setattr(suffixes, "with_removals", lambda *_: _Rows())
+    kept = suffixes.digest(_Rows())
+    for function, columns in ((cut, [keys, keys, pa.array(texts), pa.array(held)]), (kept, [keys, pa.array(texts), pa.array(starts)])):
+        batch = pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+        whole = list(function(iter([batch])))
+        alone = [row for k in range(len(texts)) for out in function(iter([batch.slice(k, 1)])) for row in out.to_pylist()]
+        assert [row for out in whole for row in out.to_pylist()] == alone and len(alone) >= len(texts)
+        assert max(out.nbytes for out in whole) < 8 * text.RUN_BYTES
+        del whole, alone
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in function(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= len(texts) and peak < 6 << 20
+
+
 def test_tokenizer_keeps_early_chunks_within_bounds(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_CHUNKS", 400)
     monkeypatch.setattr(packing, "KEPT_CHUNKS", 200)
